@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.bpe import digests, encode
 from plumbline.llm.common import LOWER, UPPER, table
 from plumbline.llm.exact_dedup import digest, exact_dedup
+from plumbline.llm.language import held_out, identify, learn_from
 from plumbline.llm.mixing import mix
 from plumbline.llm.pii import find_pii
 from plumbline.llm.topk import top_k
@@ -66,3 +68,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(
         F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), learn_from(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
