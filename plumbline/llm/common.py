@@ -59,3 +59,48 @@ def ascii_lower(text: Column) -> Column:
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+class Bitmap:
+    """Which keys a table may hold, in a bitmap of 2 ** bits bits; small enough to broadcast whatever the table.
+
+    A key that the table holds is always marked; another may be marked too, so a mark is
+    followed by an exact step.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], bits: int = 23) -> None:
+        self.keys, self.bits = list(keys), bits
+        slots = df.select(self._slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+        self.rows = cut(slots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")))
+
+    def _slot(self) -> Column:
+        return F.pmod(F.xxhash64(*[col(k) for k in self.keys]), F.lit(1 << self.bits)) + 1
+
+    def mark(self, df: DataFrame, flag: str) -> DataFrame:
+        """df, which has the keys under the same names, with the boolean column flag."""
+        bucket, bitmap = fresh(df, "bucket", "bitmap")
+        rows = self.rows.toDF(bucket, bitmap)
+        position = F.bitmap_bit_position(self._slot()).cast("int")
+        byte = F.substring(F.col(bitmap), F.shiftright(position, 3) + 1, F.lit(1))
+        bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), position % 8)
+        # At most 2 ** bits / 32768 rows of 4 KB.
+        joined = df.withColumn(bucket, F.bitmap_bucket_number(self._slot())).join(F.broadcast(rows), bucket, "left")
+        return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(bucket, bitmap)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that edges (a, b) link; the component is the least of its nodes.
+
+    Each round takes the least label around and then the label of that label, so rounds grow
+    with the logarithm of the longest chain.  Nothing but a count comes to the driver.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    while True:
+        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        near = labels.join(around, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("new"))
+        up = labels.select(F.col("node").alias("new"), F.col("label").alias("above"))
+        step = cut(near.join(up, "new").select("node", F.least("new", "above").alias("new"), (F.col("label") != F.least("new", "above")).alias("moved")))
+        labels = step.select("node", F.col("new").alias("label"))
+        if step.filter("moved").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))

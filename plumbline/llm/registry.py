@@ -12,6 +12,7 @@ from plumbline.llm.common import LOWER, UPPER, table
 from plumbline.llm.exact_dedup import digest, exact_dedup
 from plumbline.llm.language import held_out, identify, learn_from
 from plumbline.llm.mixing import mix
+from plumbline.llm.near_dedup import near_classes
 from plumbline.llm.pii import find_pii
 from plumbline.llm.topk import top_k
 
@@ -80,3 +81,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
