@@ -190,11 +190,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     return encoded.withColumn("decoded", text(col(ids_col)))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what encode returns."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what encode returns, and more of its columns."""
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        *more,
     )

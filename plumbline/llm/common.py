@@ -40,12 +40,18 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c.lower() not in gone])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that lost executors don't cost its lineage."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set here only where none is."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that lost executors don't cost its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
