@@ -66,15 +66,14 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     limit = slim.count()
     while (1 << len(jumps)) <= 2 * limit and not jump.filter("up is not null").isEmpty():
         jumps.append(jump)
+        # Only what still goes up joins; most messages are done after a few rounds.
+        going = jump.filter("up is not null")
         above = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("steps").alias("further"))
         known = (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))
-        jump = cut(
-            jump.join(above, known, "left").select(
-                "tree", "node", F.col("next").alias("up"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
-            )
-        )
+        higher = going.join(above, known).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("steps") + F.col("further")).alias("steps")
+        )
+        jump = cut(jump.filter("up is null").unionByName(higher))
     parents = (jumps[0] if jumps else jump).filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = jump.filter("up is null").join(parents, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), "score", "steps")
