@@ -14,9 +14,10 @@ are what links join, directly or over others.
 * Texts with equal multisets become one node.  Bands of registers put nodes into buckets.
 * Verification.  In each bucket every node is compared with one hub.  Then what is not yet
   joined is compared: in buckets that still hold several classes, the nodes outside the
-  largest class with every node of another class.  So a bucket of n copies of one text
-  costs n comparisons, no link between classes of a bucket is left out, and all
-  comparisons are of whole multisets.
+  largest class with every node of another class; in buckets of more than SMALL nodes block
+  by block, with a product of incidence matrices, from which only a spanning forest of the
+  links comes out.  So a bucket of n copies that the hub joins costs n comparisons, no link
+  between classes of a bucket is left out, and all comparisons are of whole multisets.
 
 With 20 bands of 4 registers a link of similarity 0.8 shares no bucket with probability
 3e-5, one of 0.9 with 2e-10.
@@ -40,6 +41,8 @@ from plumbline.llm.common import Bitmap, col, components, cut, fresh
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
+#: Buckets of more nodes are settled in blocks of so many nodes and shingles.
+SMALL, BLOCK, BLOCK_MASS = 16, 1024, 1 << 21
 #: Bytes of text, and texts, that a worker handles at once.
 SLICE, TEXTS = 2 << 20, 4095
 _U = np.uint64
@@ -200,9 +203,9 @@ def _sign(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
     return read.mapInPandas(sign, "id long, th binary, key binary, n long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes (key, th) whose multisets overlap enough; reads the texts of these nodes again."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key").select("key", "th"))
+def _bags(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, bag) of the nodes with these keys, the bag expanded and packed; reads their texts again."""
+    wanted = cut(keys.distinct().join(nodes, "key").select("key", "th"))
     texts = Bitmap(wanted, ["th"]).mark(docs.select(text_hash(F.col("text")).alias("th"), "text"), "maybe").filter("maybe")
     one = texts.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th").select("key", "text")
 
@@ -215,7 +218,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
                 sets += [expanded(shingle[a:b], count[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
             yield pd.DataFrame({"key": batch["key"], "bag": sets})
 
-    bag = cut(one.mapInPandas(expand, "key binary, bag binary"))
+    return cut(one.mapInPandas(expand, "key binary, bag binary"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose multisets overlap enough."""
+    bag = _bags(pairs.select(F.explode(F.array("a", "b")).alias("key")), nodes, docs)
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -231,6 +239,81 @@ def _fits(x: str, y: str, threshold: float) -> Column:
     return F.least(x, y) >= F.greatest(x, y) * F.lit(threshold - 1e-9)
 
 
+def _in_small(apart: DataFrame, first: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links between classes of buckets of at most SMALL nodes, pair by pair."""
+    x = apart.filter("component != largest").select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "component")])
+    pairs = x.join(apart, "band").filter(
+        (F.col("x_component") != F.col("component"))
+        & _fits("x_n", "n", threshold)
+        & ((F.col("component") == F.col("largest")) | (F.col("x_key") < F.col("key")))
+    )
+    pairs = pairs.select(F.least("x_key", "key").alias("a"), F.greatest("x_key", "key").alias("b")).distinct()
+    # A hub is the least of its bucket, so these are ordered alike.
+    return _verified(cut(pairs.join(first, ["a", "b"], "left_anti")), nodes, docs, threshold)
+
+
+def _in_large(apart: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links that join what is linked in larger buckets: a tree for each, not all pairs.
+
+    A bucket's nodes are dealt to blocks of bounded size; every two blocks meet in one group,
+    where all overlaps come from a product of incidence matrices.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("mass") / BLOCK_MASS)).cast("int")
+    bag = _bags(apart.select("key"), nodes, docs)
+    dealt = apart.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "band"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key")
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, _U) for x in rows["bag"]]
+        alike = overlaps(sets) >= threshold - 1e-12
+        if (own := rows["own"].to_numpy()).min() != own.max():
+            alike &= own[:, None] != own[None, :]
+        keys = rows["key"].tolist()
+        made = [(keys[a], keys[b]) for a, b in forest(alike)]
+        return pd.DataFrame([(min(x), max(x)) for x in made], columns=["a", "b"])
+
+    return met.join(bag, "key").groupBy("band", "i", "j").applyInPandas(link, "a binary, b binary").distinct()
+
+
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of every two expanded multisets."""
+    sizes = np.array([len(s) for s in sets], float)
+    row = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # What only one multiset has is in no overlap.
+    place = np.cumsum(times > 1) - 1
+    row, column = row[times[column] > 1], place[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        block = np.zeros((len(sets), columns), np.float32)
+        block[row[a:b], column[a:b] - at] = 1
+        common += block @ block.T
+    both = sizes[:, None] + sizes[None, :] - common
+    alike = np.divide(common, both, out=np.ones_like(both), where=both > 0)
+    np.fill_diagonal(alike, 1)
+    return alike
+
+
+def forest(alike: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of a graph given by its adjacency matrix."""
+    new = np.ones(len(alike), bool)
+    for root in range(len(alike)):
+        if not new[root]:
+            continue
+        new[root] = False
+        queue = [root]
+        while queue:
+            at = queue.pop()
+            for other in np.flatnonzero(alike[at] & new).tolist():
+                new[other] = False
+                queue.append(other)
+                yield at, other
+
+
 def near_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -259,24 +342,22 @@ def near_classes(
     links = cut(_verified(first, nodes, docs, threshold))
     joined = components(links)
 
-    # What shares a bucket and isn't joined yet.
-    placed = shared.join(joined, F.col("key") == F.col("node"), "left")
+    # What shares a bucket and isn't joined yet; pairs with the hub are settled.
+    rest = shared.filter(F.col("key") != F.col("hub"))
+    placed = rest.join(joined, F.col("key") == F.col("node"), "left")
     placed = cut(placed.select("band", "key", "n", F.coalesce("component", "key").alias("component")))
-    counted = placed.groupBy("band", "component").count()
+    counted = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
     most = F.max(F.struct("count", "component"))["component"]
-    several = counted.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), most.alias("largest"))
-    several = several.filter("classes > 1").select(F.xxhash64("band").alias("at"), "largest")
-    apart = cut(placed.join(several, F.xxhash64("band") == F.col("at")).select("band", "key", "n", "component", "largest"))
-    x = apart.filter("component != largest").select("band", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "component")])
-    pairs = x.join(apart, "band").filter(
-        (F.col("x_component") != F.col("component"))
-        & _fits("x_n", "n", threshold)
-        & ((F.col("component") == F.col("largest")) | (F.col("x_key") < F.col("key")))
+    several = counted.groupBy("band").agg(
+        F.count(F.lit(1)).alias("classes"), most.alias("largest"), F.sum("count").alias("size"), F.sum("n").alias("mass")
+    )
+    several = several.filter("classes > 1").select(F.xxhash64("band").alias("at"), "largest", "size", "mass")
+    apart = cut(placed.join(several, F.xxhash64("band") == F.col("at")).drop("at"))
+    links = cut(
+        links.unionByName(_in_small(apart.filter(F.col("size") <= SMALL), first, nodes, docs, threshold)).unionByName(
+            _in_large(apart.filter(F.col("size") > SMALL), nodes, docs, threshold)
+        )
     )
-    pairs = pairs.select(F.least("x_key", "key").alias("a"), F.greatest("x_key", "key").alias("b")).distinct()
-    # A hub is the least of its bucket, so these are ordered alike.
-    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_verified(pairs, nodes, docs, threshold)))
     joined = components(links)
 
     own = nodes.select("key", "first", "members")

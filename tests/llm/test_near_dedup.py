@@ -7,8 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from plumbline.llm import near_dedup
 from plumbline.llm.common import components
-from plumbline.llm.near_dedup import bags, bands, drop_near_copies, expanded, near_classes, overlap, signatures
+from plumbline.llm.near_dedup import bags, bands, drop_near_copies, expanded, forest, near_classes, overlap, overlaps, signatures
 
 SCHEMA = "doc_id long, text string, th string"
 
@@ -59,9 +60,11 @@ def made(seed=0):
     return texts + [None, "", " \t", "one", "One", "ONE two"]
 
 
-@pytest.mark.parametrize("seed", [0])
-def test_classes_are_those_of_brute_force(spark, seed):
-    texts = made(seed)
+@pytest.mark.parametrize("small, block", [(16, 1024), (2, 3)])
+def test_classes_are_those_of_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = made(small)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).repartition(3)
     out = near_classes(docs).collect()
     groups = {}
@@ -92,6 +95,16 @@ def test_bags(texts):
         assert sorted(count[of == i].tolist()) == sorted(wanted[i].values())
         for j in range(i):
             assert abs(overlap(sets[i], sets[j]) - alike(wanted[i], wanted[j])) < 1e-12
+    every = overlaps(sets, columns=3)
+    assert all(abs(every[i, j] - alike(wanted[i], wanted[j])) < 1e-6 for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_forest():
+    alike = np.zeros((6, 6), bool)
+    for a, b in ((0, 1), (1, 2), (0, 2), (4, 5)):
+        alike[a, b] = alike[b, a] = True
+    edges = list(forest(alike))
+    assert len(edges) == 3 and all(alike[a, b] for a, b in edges)
 
 
 def test_registers_agree_with_the_similarity():
