@@ -12,6 +12,7 @@ from plumbline.llm.bpe import digests, encode
 from plumbline.llm.common import LOWER, UPPER, table
 from plumbline.llm.exact_dedup import digest, exact_dedup
 from plumbline.llm.language import held_out, identify, learn_from
+from plumbline.llm.line_dedup import line_matches
 from plumbline.llm.mixing import mix
 from plumbline.llm.near_dedup import near_classes
 from plumbline.llm.pii import find_pii
@@ -126,3 +127,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source_id").cast("long").alias("page_id"), "kind", "record_id", "refers_to", "concurrent_to", "target_uri",
         "block_digest", "source_digest", "content_length", F.sha2(F.encode("record", "UTF-8"), 256).alias("record_sha256"),
     )
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_matches(table(spark, sf_dir, "documents")).drop("lh")
