@@ -229,7 +229,10 @@ class Engine:
         policy, out = self.resolver.policy(principal), {}
         for b in self.resolver.active:
             if policy.sees(b.metric):
-                out.setdefault(self.resolver.leaves(b)[0].source, []).append(b.metric)
+                try:
+                    out.setdefault(self.resolver.leaves(b)[0].source, []).append(b.metric)
+                except Refusal:  # bound to components that can't be had; validation tells
+                    continue
         return {s: sorted(out[s]) for s in sorted(out)}
 
     def trust_report(self) -> dict[str, tuple[str, list[str]]]:
@@ -321,7 +324,7 @@ def close(found: Any, wanted: Any, tolerance: float) -> bool:
             return abs(a - b) <= tolerance * (abs(b) or 1.0)
     except (TypeError, ValueError):
         pass
-    return found == wanted or str(found) == str(wanted) and type(found) is type(wanted)
+    return numbers is not (isinstance(found, bool) and isinstance(wanted, bool)) and found == wanted
 
 
 def mismatches(a: Assertion, rows: list[dict], bindings: dict[str, Binding]) -> list[str]:

@@ -165,13 +165,8 @@ def assert_read_only(spark: SparkSession, sql: str, tables: set[str]) -> None:
                 raise Refusal("read_only_violation", f"{name} is no table of this project")
         if kind == "UnresolvedTableValuedFunction":
             raise Refusal("read_only_violation", "table functions aren't allowed")
-        for many in (node.children(), node.innerChildren()):
+        for many in (node.children(), node.innerChildren(), node.subqueries()):
             for i in range(many.size()):
-                child = many.apply(i)
-                if "logical" in child.getClass().getName():
-                    look(child)
-        inner = node.subqueries()
-        for i in range(inner.size()):
-            look(inner.apply(i))
+                look(many.apply(i))
 
     look(plan)
