@@ -7,7 +7,7 @@ on the driver.  Tokens are runs of letters and digits, lower case.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == word
+
+
 def bm25(pages: DataFrame, query: str, fields: dict[str, float] | None = None, id_col: str = "page_id") -> DataFrame:
     """(id, score) of the pages that hold a word of the query.
 
@@ -34,7 +38,7 @@ def bm25(pages: DataFrame, query: str, fields: dict[str, float] | None = None, i
     text = {f: tokens(F.concat_ws(" ", F.col(f)) if dict(pages.dtypes)[f].startswith("array") else F.col(f)) for f in fields}
     told = pages.select(id_col, *[text[f].alias(f"t_{f}") for f in fields])
     length = sum((F.size(f"t_{f}") * w for f, w in fields.items()), F.lit(0.0))
-    counts = [sum((F.size(F.filter(f"t_{f}", lambda x, w=w: x == w)) * k for f, k in fields.items()), F.lit(0.0)).alias(f"n{i}") for i, w in enumerate(words)]
+    counts = [sum((F.size(F.filter(f"t_{f}", _is(w))) * k for f, k in fields.items()), F.lit(0.0)).alias(f"n{i}") for i, w in enumerate(words)]
     counted = told.select(id_col, length.alias("length"), *counts)
     stats = counted.agg(F.count(F.lit(1)).alias("pages"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)

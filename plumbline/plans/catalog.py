@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.engine import Engine
+from plumbline.functions.html import page_text
 from plumbline.loader import from_dict
 from plumbline.model import Principal, Project
+from plumbline.operators import event_log as event_logs
+from plumbline.operators import retrieval
+from plumbline.sources.catalog import column_stats
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
@@ -277,3 +281,93 @@ register(
 _RAW = "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 1000) SELECT c_mktsegment, count(*) AS n FROM big JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
 QUERIES["raw_sql"] = lambda spark, d: engine(spark, d, TENANTS).run_sql(_RAW, Principal({"roles": ["sql"]}))
 ORACLE_SQL["raw_sql"] = _RAW
+
+# The event log, read off the events table: views are served answers, other events their outcomes.
+_LOG = """
+SELECT event_id AS seq, ts, CASE WHEN event_type IN ('view', 'error') THEN 'served_answer' WHEN event_type = 'click' THEN 'funnel_milestone' ELSE 'answer_outcome' END AS event,
+  CASE WHEN event_type IN ('view', 'error') THEN CAST(user_id AS STRING) END AS query_hash, CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(user_id AS STRING) END AS ref,
+  CASE WHEN event_type = 'error' THEN CASE WHEN value > 50 THEN 'unresolved' ELSE 'unreachable' END END AS error, CAST(value AS DOUBLE) AS latency_ms,
+  CASE WHEN value > 30 THEN 'trusted' ELSE 'provisional' END AS trust_tier, CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'signup' THEN 'wrong_definition' END AS outcome,
+  CASE WHEN event_type = 'click' THEN CONCAT('step', CAST(user_id % 5 AS STRING)) END AS milestone, CONCAT('m', CAST(user_id % 7 AS STRING)) AS binding FROM {}"""
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.sql(_LOG.format("{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return log.withColumn("resolved", F.create_map(F.lit("metric"), F.col("binding")))
+
+
+def _log_query(name: str, report: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, d: report(event_log(spark, d))
+    ORACLE_SQL[name] = f"WITH log AS ({_LOG.format('events').replace('STRING', 'VARCHAR')}) {sql}"
+
+
+_LAST = "(SELECT ref, outcome, ts FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY seq DESC) AS n FROM log WHERE ref IS NOT NULL) WHERE n = 1)"
+_SERVED = "(SELECT query_hash, trust_tier, binding FROM (SELECT *, row_number() OVER (PARTITION BY query_hash ORDER BY seq DESC) AS n FROM log WHERE event = 'served_answer') WHERE n = 1)"
+_log_query(
+    "event_report", lambda log: event_logs.answer_report(log).withColumn("latency_avg", F.round("latency_avg", 4)),
+    """SELECT count(*) AS answers, count(error) AS errors, min(latency_ms) AS latency_min, max(latency_ms) AS latency_max, round(avg(latency_ms), 4) AS latency_avg,
+    quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95 FROM log WHERE event = 'served_answer'""",
+)
+_log_query("errors_by_code", lambda log: event_logs.errors_by_code(log), "SELECT error, count(*) AS answers FROM log WHERE error IS NOT NULL GROUP BY 1")
+_log_query("latest_outcomes", lambda log: event_logs.latest_outcomes(log), f"SELECT ref, outcome, ts FROM {_LAST}")
+_log_query(
+    "calibration", lambda log: event_logs.calibration(log),
+    f"SELECT s.trust_tier AS tier, count(*) AS judged, count(*) FILTER (outcome = 'correct') AS correct FROM {_LAST} o LEFT JOIN {_SERVED} s ON o.ref = s.query_hash GROUP BY 1",
+)
+_log_query(
+    "recurring_corrections", lambda log: event_logs.recurring_corrections(log),
+    f"SELECT s.binding, count(*) AS corrections FROM log o JOIN {_SERVED} s ON o.ref = s.query_hash WHERE o.outcome LIKE 'wrong%' GROUP BY 1 HAVING count(*) > 1",
+)
+_log_query("funnel", lambda log: event_logs.funnel(log), "SELECT milestone, min(seq) AS place, arg_min(ts, seq) AS first FROM log WHERE event = 'funnel_milestone' GROUP BY 1")
+_log_query(
+    "capped_bindings", lambda log: event_logs.capped_bindings(log.withColumn("ts", F.col("ts").cast("timestamp")), 20, "2024-01-31"),
+    """SELECT binding FROM (SELECT *, row_number() OVER (PARTITION BY binding ORDER BY seq DESC) AS n FROM log WHERE outcome IS NOT NULL) WHERE n = 1 AND outcome = 'wrong_definition'
+    AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY""",
+)
+_log_query("telemetry", lambda log: event_logs.telemetry(log), "SELECT event, error, count(*) AS n FROM log GROUP BY 1, 2")
+
+# Retrieval over documents and embeddings.
+SEARCH = "token password the"
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
+    return retrieval.bm25(docs, SEARCH, {"body": 1.0}, "doc_id")
+
+
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    query = vectors.filter("vec_id = 0").first()["embedding"]
+    return retrieval.cosine(vectors, query).withColumnRenamed("vec_id", "doc_id")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_TERMS = sorted(SEARCH.split())
+_BM25 = f"""t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+n AS (SELECT doc_id, len(w) AS length, {', '.join(f"len(list_filter(w, lambda x: x = '{w}')) AS n{i}" for i, w in enumerate(_TERMS))} FROM t),
+s AS (SELECT count(*) AS pages, avg(length) AS mean, {', '.join(f'count(*) FILTER (n{i} > 0) AS df{i}' for i in range(len(_TERMS)))} FROM n),
+bm AS (SELECT doc_id, {' + '.join(f'ln(1 + (pages - df{i} + 0.5) / (df{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * length / mean))' for i in range(len(_TERMS)))} AS score
+  FROM n, s WHERE {' OR '.join(f'n{i} > 0' for i in range(len(_TERMS)))})"""
+_COS = """q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
+cs AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], q.e) AS score FROM embeddings, q WHERE list_cosine_similarity(embedding::DOUBLE[], q.e) > 0)"""
+QUERIES["bm25_search"], ORACLE_SQL["bm25_search"] = lambda spark, d: _rounded(_bm25(spark, d)), f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm"
+QUERIES["cosine_search"], ORACLE_SQL["cosine_search"] = lambda spark, d: _rounded(_cosine(spark, d)), f"WITH {_COS} SELECT doc_id, round(score, 6) AS score FROM cs"
+QUERIES["rrf_search"] = lambda spark, d: _rounded(retrieval.fuse([(_bm25(spark, d), 1.0), (_cosine(spark, d), 1.0)], "doc_id"))
+_RANK = "SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM {}"
+ORACLE_SQL["rrf_search"] = f"WITH {_BM25}, {_COS} SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM ({_RANK.format('bm')}) WHERE r < 200 UNION ALL SELECT * FROM ({_RANK.format('cs')}) WHERE r < 200) GROUP BY 1"
+QUERIES["page_text"] = lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", page_text(F.col("html")).alias("t")).select("page_id", "t.*")
+
+
+def _column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_stats(spark.read.parquet(f"{sf_dir}/orders.parquet")).select("column", "null_fraction", "is_unique")
+
+
+_ORDER_COLUMNS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+QUERIES["column_stats"] = _column_stats
+ORACLE_SQL["column_stats"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg(({c} IS NULL)::INT)::DOUBLE AS null_fraction, count(DISTINCT {c}) >= count(*) * 0.97 AS is_unique FROM orders" for c in _ORDER_COLUMNS
+)

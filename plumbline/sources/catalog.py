@@ -109,15 +109,17 @@ def select_relations(names: list[str], schemas: tuple[str, ...] = (), tables: tu
 
 def column_stats(df: DataFrame) -> DataFrame:
     """column, n_distinct (estimated), null_fraction and is_unique (as far as the estimate tells) in one pass."""
-    parts = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.approx_count_distinct(F.col(f"`{c}`")).alias("n_distinct"),
-            F.avg(F.col(f"`{c}`").isNull().cast("double")).alias("null_fraction"),
-            (F.approx_count_distinct(F.col(f"`{c}`"), 0.01) >= F.count(F.lit(1)) * 0.97).alias("is_unique"),
+    parts = []
+    for c in df.columns:
+        sketch = F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), 14))
+        parts.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                sketch.alias("n_distinct"),
+                F.avg(F.col(f"`{c}`").isNull().cast("double")).alias("null_fraction"),
+                (sketch >= F.count(F.lit(1)) * 0.97).alias("is_unique"),
+            )
         )
-        for c in df.columns
-    ]
     return df.agg(F.array(*parts).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
