@@ -96,6 +96,24 @@ class Engine:
         finally:
             self._event(query, planned, error, time.time() - began)
 
+    def explain(self, query: Query | dict, principal: Principal | None = None) -> str:
+        """The physical plan of a query; nothing runs."""
+        plan = self.query(query, principal).df._jdf.queryExecution()
+        return self.spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "formatted")
+
+    def checked(self, query: Query | dict, principal: Principal | None = None, harness: bool = False) -> tuple[Planned, list[str]]:
+        """A query with what the assertions on the very same question find; under the harness that is refused."""
+        query = Query.of(query) if isinstance(query, dict) else query
+        planned, problems = self.query(query, principal), []
+        same = [a for a in self.project.assertions if Query.of(a.query) == query]
+        if same:
+            rows = [r.asDict() for r in planned.df.limit(ROW_LIMIT).collect()]
+            bound = {m: self.resolver.find(m)[0] for m in query.metrics}
+            problems = [f"{a.id}: {p}" for a in same for p in mismatches(a, rows, bound)]
+        if problems and harness:
+            raise Refusal("assertion_failed", "; ".join(problems))
+        return planned, problems
+
     def _plan(self, query: Query, principal: Principal | None) -> Planned:
         if not query.metrics:
             raise Refusal("validation_failed", "a query asks for at least one metric")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.plans.leaf import Leaf
 
 #: Leaves of these kinds carry all columns of their source, so their rows serve other measures.
-_SHARED = {"single", "distinct", "percentile", "rank"}
+_SHARED = {"single", "distinct"}
 
 
 def fuse(leaves: list[Leaf]) -> list[Leaf]:

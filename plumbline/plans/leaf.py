@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from plumbline.errors import Refusal
 from plumbline.functions import sqlexpr
 from plumbline.model import Binding, Dimension, FinalityRule, Query, Source
+from plumbline.operators.percentile import exact_percentile
 from plumbline.operators.rows import collapse_edges, one_row_per_grain
 from plumbline.plans import joins
 from plumbline.plans.finality import watermark
@@ -407,12 +408,11 @@ class Planner:
         named = [self.dim_column(d).alias(f"__d{i}") for i, d in enumerate(dims)]
         rows = rows.select(*named, F.col(q(b.source, b.column)).cast("double").alias("__v")).alias(b.source)
         by = [f"__d{i}" for i in range(len(dims))]
-        if b.approach == "nearest_rank":
+        nearest = b.approach == "nearest_rank"
+        if nearest:
             self.notes.warn(f"{b.metric}: the percentile is a nearest rank")
-            # Groups without any value are left out, as there is no rank to take.
-            rows = rows.where("__v is not null")
-            return Leaf(("rank", b.column, b.quantile, *said), rows, by, [(name, F.expr(f"percentile_disc({b.quantile}) within group (order by __v)"))])
-        return Leaf(("percentile", b.column, *said), rows, by, [(name, F.expr(f"percentile_cont({b.quantile}) within group (order by __v)"))])
+        found = exact_percentile(rows, by, "__v", b.quantile, name, nearest)
+        return Leaf(("shaped", b.approach, b.column, b.quantile, *said), found, by, [(name, F.col(name))], shaped=True)
 
     def _opaque(self, b: Binding, name: str, population: tuple[str, ...]) -> Leaf:
         measure, owner = self.measure_of(b), b.source

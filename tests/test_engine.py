@@ -306,5 +306,15 @@ def test_discovery_and_reports(engine, tmp_path):
     engine.log = None
 
 
+def test_assertions_on_a_query(make):
+    wrong = [{"id": "a", "query": {"metrics": ["orders_n"]}, "expect": {"values": {"orders_n": 6}}}]
+    engine = make(assertions=wrong)
+    assert engine.checked({"metrics": ["orders_n"]})[1] == ["a: orders_n is 5, not 6"]
+    assert engine.checked({"metrics": ["orders_n"], "dimensions": ["status"]})[1] == []
+    refused("assertion_failed", engine.checked, {"metrics": ["orders_n"]}, harness=True)
+    assert engine.check_assertions()["passed"] == 0 and ask(engine, "orders_n").tier == "caution"
+    assert "HashAggregate" in engine.explain({"metrics": ["orders_n"]})
+
+
 def test_assertions():
     assert close(100.5, 100, 0.01) and not close(102, 100, 0.01) and close(0.001, 0, 0.01) and not close(True, 1, 0.5) and close(None, None, 0)
