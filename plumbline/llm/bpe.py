@@ -4,7 +4,7 @@ A rolling hash over the bytes of a text marks chunk ends, so a passage that seve
 documents share falls into the same chunks wherever it stands.  A chunk's body reaches from
 its first to its last safe place: a space between two visible ASCII characters, where the
 tokenizer's words always part whatever stands around.  Bodies are encoded once for each
-worker (a cache of bounded size).  What lies between the last safe place of a chunk and the
+task (a cache of bounded size).  What lies between the last safe place of a chunk and the
 first of the next, the join, is encoded anew; where a chunk has no safe place the join
 widens over it until it meets one or the text's end.  Body and join ids in order are then
 exactly the ids of the whole text.
@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col, fresh, without
+from plumbline.llm.common import col, fresh, released, without
 
 #: A chunk's mean length in bytes, and the bytes that the rolling hash sees.
 CHUNK, WINDOW = 1024, 16
@@ -81,12 +81,15 @@ class Bpe:
         if (ids := self.cache.get(piece)) is None:
             ids = self.core.encode_to_numpy(piece.decode(), allowed_special="all").astype("<u4").tobytes()
             if self.held > CACHE:
-                self.cache.clear()
-                self.held = 0
+                self.forget()
             self.cache[piece] = ids
             self.held += len(piece) + len(ids) + 150
         return ids
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.held = 0
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The packed ids of each text."""
         out: list[bytes] = []
@@ -168,11 +171,17 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     """docs with ids (packed) and decoded (the text of these ids); columns so named are replaced."""
     source = tokenizer_json(path)
 
-    @F.pandas_udf("ids binary, decoded string")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    @released
+    def made_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(source)
-        packed = bpe.encode([(t or "").encode() for t in texts])
-        return pd.DataFrame({"ids": packed, "decoded": bpe.decode(packed)})
+        for texts in batches:
+            packed = bpe.encode([(t or "").encode() for t in texts])
+            yield pd.DataFrame({"ids": packed, "decoded": bpe.decode(packed)})
+        bpe.forget()
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return made_of(batches)
 
     docs = without(docs, [c for c in ("ids", "decoded") if c != text_col])
     (made,) = fresh(docs, "made")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
+from typing import Any
+
+import pyarrow
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Batches = Callable[[Iterator[Any]], Iterator[Any]]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -110,3 +116,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", F.col("new").alias("label"))
         if step.filter("moved").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
+
+
+def released(function: Batches) -> Batches:
+    """A function over batches that gives its memory back when a task ends, as Spark keeps its process."""
+
+    @wraps(function)
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from function(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run

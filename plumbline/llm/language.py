@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col, fresh
+from plumbline.llm.common import col, fresh, released
 
 LANGUAGES, SAMPLES, PER_DOCUMENT, DICTIONARY = 64, 256, 1000, 1 << 16
 BLOCK, LEVEL = 1024, 6
@@ -104,12 +104,16 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least_margin: float = LEAST_MARGIN) -> DataFrame:
     """docs with a struct ``language``: lang_pred, score, margin, accepted."""
 
-    @F.pandas_udf("lang_pred string, score double, margin double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @released
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classifier = Classifier(dictionaries)
         for texts in batches:
             yield pd.DataFrame([classifier.predict(t) for t in texts], columns=["lang_pred", "score", "margin"])
 
+    @F.pandas_udf("lang_pred string, score double, margin double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return told(batches)
+
     (name,) = fresh(docs, "language")
     found = docs.withColumn(name, predict(col(text_col)))
     accepted = (F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.margin") >= least_margin)

@@ -37,14 +37,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Bitmap, col, components, cut, fresh
+from plumbline.llm.common import Bitmap, col, components, cut, fresh, released
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Buckets of more nodes are settled in blocks of so many nodes and shingles.
 SMALL, BLOCK, BLOCK_MASS = 16, 1024, 1 << 21
 #: Bytes of text, and texts, that a worker handles at once.
-SLICE, TEXTS = 2 << 20, 4095
+SLICE, TEXTS = 1 << 20, 4095
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -193,6 +193,7 @@ def text_hash(text: Column) -> Column:
 def _sign(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
     """id, th (a hash of the text), key, n and bands of each row of (id, text)."""
 
+    @released
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = list(_signed([t or "" for t in batch["text"]], n_bands, rows))
@@ -209,6 +210,7 @@ def _bags(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = Bitmap(wanted, ["th"]).mark(docs.select(text_hash(F.col("text")).alias("th"), "text"), "maybe").filter("maybe")
     one = texts.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th").select("key", "text")
 
+    @released
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = []
@@ -225,13 +227,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: fl
     """The pairs (a, b) of nodes whose multisets overlap enough."""
     bag = _bags(pairs.select(F.explode(F.array("a", "b")).alias("key")), nodes, docs)
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([overlap(np.frombuffer(x, _U), np.frombuffer(y, _U)) >= threshold for x, y in zip(a, b)], dtype=bool)
+    @released
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = zip(batch["bag_a"], batch["bag_b"])
+            yield batch.loc[[overlap(np.frombuffer(x, _U), np.frombuffer(y, _U)) >= threshold for x, y in both], ["a", "b"]]
 
     left, right = (bag.select(F.col("key").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    return both.filter(alike("bag_a", "bag_b")).select("a", "b")
+    return both.mapInPandas(alike, "a binary, b binary")
 
 
 def _fits(x: str, y: str, threshold: float) -> Column:

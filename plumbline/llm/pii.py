@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col
+from plumbline.llm.common import col, released
 
 Span = tuple[int, int]
 BASE, ADDED = ("email", "ip", "card", "phone"), ("url", "account")
@@ -205,6 +205,7 @@ def joined(found: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its id, the number of spans of each base kind, the digest of these, and all spans."""
 
+    @released
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchors = automaton()
         for batch in batches:

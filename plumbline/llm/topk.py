@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col
+from plumbline.llm.common import col, released
 
 SCALE = 256
 #: Query vectors of a round, and candidates of a block.
@@ -94,6 +94,7 @@ def search_block(queries: list[tuple[int, _Query]], ids: np.ndarray, vectors: np
 
 
 def _searcher(query_ids: np.ndarray, query_rows: np.ndarray, k: int, block: int):
+    @released
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict = {}
         queries: dict[int, list] = {}

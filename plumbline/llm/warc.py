@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col
+from plumbline.llm.common import col, released
 
 VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
@@ -130,6 +130,7 @@ def build(responses: DataFrame, id_col: str = "page_id", uri_col: str = "url", b
     )
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
+    @released
     def derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = zip(batch["source_id"], batch["uri"], batch["date"], batch["headers"], batch["body"])
