@@ -7,6 +7,7 @@ on the driver.  Tokens are runs of letters and digits, lower case.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,20 +63,40 @@ def cosine(vectors: DataFrame, query: Sequence[float], id_col: str = "vec_id", v
     return vectors.select(id_col, (dot / F.nullif(norm * own, F.lit(0.0))).alias("score")).filter("score > 0")
 
 
-def ranked(arm: DataFrame, top: int, id_col: str) -> DataFrame:
-    """The best of an arm with ranks from 0, ties by id.  Only ``top`` rows are ranked in one place."""
-    best = arm.orderBy(F.desc("score"), id_col).limit(top)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1)
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, which is set here only where none is."""
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-checkpoints-"))
+    return df.checkpoint()
 
 
-def fuse(arms: Sequence[tuple[DataFrame, float]], id_col: str, eligible: DataFrame | None = None, top: int = 200) -> DataFrame:
-    """(id, score): the sum over arms of weight / (60 + rank), ranks taken among eligible rows."""
+def ranked(arm: DataFrame, id_col: str) -> DataFrame:
+    """All rows of an arm with ranks from 0, ties by id, without one task that sees all.
+
+    Rows are dealt by ranges of (score, id) and sorted there; a row's number has its partition
+    above bit 33 and its place in it below, so the rank is that place and the rows before the
+    partition.  An arm is computed once: its scores are written, then ordered.
+    """
+    ordered = _cut(_cut(arm).orderBy(F.desc("score"), id_col).withColumn("_at", F.monotonically_increasing_id()))
+    numbered = ordered.withColumn("_part", F.shiftright("_at", 33))
+    # One row per partition.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = numbered.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + place).drop("_at", "_part", "_before")
+
+
+def fuse(arms: Sequence[tuple[DataFrame, float]], id_col: str, eligible: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """(id, score): the sum over arms of weight / (60 + rank), ranks taken among all eligible rows; ``top``: only the best of the sums."""
     out = None
     for arm, weight in arms:
         arm = arm if eligible is None else arm.join(eligible.select(id_col), id_col, "left_semi")
-        part = ranked(arm, top, id_col).select(id_col, (F.lit(float(weight)) / (OFFSET + F.col("rank"))).alias("part"))
+        part = ranked(arm, id_col).select(id_col, (F.lit(float(weight)) / (OFFSET + F.col("rank"))).alias("part"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy(id_col).agg(F.sum("part").alias("score"))
+    fused = out.groupBy(id_col).agg(F.sum("part").alias("score"))
+    return fused if top is None else fused.orderBy(F.desc("score"), id_col).limit(top)
 
 
 def visible(pages: DataFrame, scope: str, tags: Sequence[str] = ("*",)) -> DataFrame:

@@ -222,6 +222,20 @@ def test_retrieval(spark):
     assert [r.page_id for r in retrieval.caveats(scoped.filter("page_id = 'a' and scope = 'global'"), scoped).collect()] == ["b"]
 
 
+def test_fusion_ranks_every_hit(spark):
+    n = 1000
+    arms = [{i: float(i * 37 % 250) for i in range(n)}, {i: float(i * 11 % n) for i in range(0, n, 2)}]
+    expected = dict.fromkeys(arms[0], 0.0)
+    for arm in arms:
+        for rank, i in enumerate(sorted(arm, key=lambda i: (-arm[i], i))):
+            expected[i] += 1 / (60 + rank)
+    dfs = [(spark.createDataFrame(list(arm.items()), "id long, score double").repartition(5), 1.0) for arm in arms]
+    got = {r.id: r.score for r in retrieval.fuse(dfs, "id").collect()}
+    assert got == pytest.approx(expected)
+    best = sorted(expected, key=lambda i: (-expected[i], i))[:3]
+    assert {r.id for r in retrieval.fuse(dfs, "id", top=3).collect()} == set(best)
+
+
 def test_knowledge():
     day = dt.datetime(2025, 1, 10)
     page = lambda i, *refs, **more: knowledge.Page(i, refs=refs, **more)
