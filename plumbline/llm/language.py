@@ -7,9 +7,10 @@ block is compressed with each dictionary; the language with the smallest sum is
 what the runner-up needs more, as a share of its size; a text whose margin is below
 ``least_margin`` is rejected, and so is one without any letter.
 
-What is learned is bounded: the ``languages`` most frequent labels, and of each at most
-``samples`` documents, chosen by a hash of the id, with ``per_document`` characters each,
-up to ``dictionary`` bytes.
+Every label is learned, and what is learned is bounded: of each label at most ``samples``
+documents, those with a letter first and then by a hash of the id, with ``per_document``
+characters each, up to ``dictionary`` bytes.  That is for up to 64 labels; more of them share
+what 64 would get, so each has less.  Time grows with the labels, as every dictionary is tried.
 
 Null texts and texts without a letter get ``und`` with score 0; so does everything if there
 is nothing to learn from.  The score is 1 / (1 + 2 ** -n), n the bytes that the runner-up
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import col, fresh, released
 
-LANGUAGES, SAMPLES, PER_DOCUMENT, DICTIONARY = 64, 256, 1000, 1 << 16
+#: FULL labels get SAMPLES, PER_DOCUMENT and DICTIONARY whole; more labels share them.
+FULL, SAMPLES, PER_DOCUMENT, DICTIONARY = 64, 256, 1000, 1 << 16
 BLOCK, LEVEL = 1024, 6
 #: Texts of fewer bytes are compressed with more effort, behind so many bytes of the dictionary itself:
 #: alone they would be stored as they are, which tells nothing.
@@ -47,20 +49,27 @@ def learn(
     text_col: str = "text",
     lang_col: str = "lang",
     order: Column | None = None,
-    languages: int = LANGUAGES,
+    languages: int | None = None,
     samples: int = SAMPLES,
     per_document: int = PER_DOCUMENT,
     dictionary: int = DICTIONARY,
 ) -> dict[str, bytes]:
-    """A dictionary for each language, of a bounded sample of the labelled rows."""
+    """A dictionary for each language, of a bounded sample of the labelled rows; ``languages``: only of so many, the most frequent."""
     read = labelled.filter(col(lang_col).isNotNull() & col(text_col).isNotNull())
-    common = read.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
-    names = [r.lang for r in common.collect()]
+    if languages is not None:
+        common = read.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages)
+        read = read.filter(col(lang_col).isin([r.lang for r in common.collect()]))
+    labels = read.select(col(lang_col)).distinct().count()
+    if labels > FULL:
+        dictionary = max(1, dictionary * FULL // labels)
+        documents = samples * FULL
+        samples = max(1, documents // labels)
+        per_document = min(per_document, max(1, per_document * documents // (samples * labels)))
     order = F.xxhash64(col(text_col)) if order is None else order
-    slim = read.filter(col(lang_col).isin(names)).select(
+    slim = read.select(
         col(lang_col).alias("lang"), F.substring(col(text_col), 1, per_document).alias("text"), order.alias("order")
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(~F.col("text").rlike(r"\p{L}"), "order", "text"))
     rows = slim.withColumn("place", place).filter(F.col("place") <= samples).orderBy("lang", "place").collect()
     found: dict[str, bytes] = {}
     for row in rows:

@@ -54,6 +54,18 @@ def test_sample_is_bounded(spark):
     assert len(known) == 2 and all(len(v) <= 90 for v in known.values())
 
 
+def test_every_label_is_learned(spark):
+    labels = [f"l{i:02}" for i in range(80)]
+    own = {x: [f"{a}{b}" * 2 for a in (chr(0x4E00 + 40 * i), chr(0x4E11 + 40 * i)) for b in map(chr, range(0x4E20 + 40 * i, 0x4E26 + 40 * i))] for i, x in enumerate(labels)}
+    text = {x: " ".join(own[x]) for x in labels}
+    docs = [(100 * i + j, "12 34 " * j if i < 70 and j < 5 else text[x], x, "x") for i, x in enumerate(labels) for j in range(7 if i < 70 else 2)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    known = learn(df, samples=2, dictionary=500)
+    assert sorted(known) == labels and all(0 < len(v) <= 400 for v in known.values())
+    told = Classifier(learn(df))
+    assert [told.predict(text[x])[0] for x in labels] == labels
+
+
 def test_narrow_margins_are_rejected(spark):
     known = {"a": b"same words in both ", "b": b"same words in both "}
     assert Classifier(known).predict("same words")[::2] == ("a", 0.0)
