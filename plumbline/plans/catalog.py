@@ -363,7 +363,7 @@ QUERIES["page_text"] = lambda spark, d: spark.read.parquet(f"{d}/pages.parquet")
 
 
 def _column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_stats(spark.read.parquet(f"{sf_dir}/orders.parquet")).select("column", "null_fraction", "is_unique")
+    return column_stats(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
 _ORDER_COLUMNS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()

@@ -11,6 +11,7 @@ from plumbline.loader import from_dict, project, read
 from plumbline.model import Column, Source
 from plumbline.operators import event_log, ingestion, knowledge, retrieval
 from plumbline.operators.ingestion import Relation
+from plumbline.plans.catalog import QUERIES
 from plumbline.plans.validate import validate
 from plumbline.sources import catalog
 from plumbline.streaming import event_log as stream
@@ -129,6 +130,23 @@ def test_relations(spark, tmp_path):
     assert stats["id"].is_unique and not stats["half"].is_unique and stats["some"].null_fraction == 0.5 and stats["half"].n_distinct == 2
 
 
+def test_nearly_unique_columns_are_counted(spark):
+    df = spark.sql("select id, if(id < 200, 0, id) repeated, if(id = 7, null, id) some, id % 10 few from range(20000)")
+    stats = {r.column: r for r in catalog.column_stats(df).collect()}
+    assert {c: (r.n_distinct, r.is_unique) for c, r in stats.items()} == {"id": (20000, True), "repeated": (19801, False), "some": (19999, False), "few": (10, False)}
+    assert stats["repeated"].uniqueness_ratio == pytest.approx(0.99005) and stats["some"].null_fraction == pytest.approx(1 / 20000)
+    assert catalog.column_stats(df.limit(0)).count() == 4
+
+
+def test_registered_column_stats_hold_the_counts(spark):
+    orders = "/root/testdata/sf0.01/orders.parquet"
+    stats = {r.column: r for r in QUERIES["column_stats"](spark, "/root/testdata/sf0.01").collect()}
+    assert (stats["o_orderkey"].n_distinct, stats["o_orderkey"].is_unique) == (15000, True)
+    assert (stats["o_totalprice"].n_distinct, stats["o_totalprice"].is_unique) == (14999, False)
+    for c in spark.read.parquet(orders).columns:
+        assert stats[c].n_distinct == pytest.approx(spark.read.parquet(orders).select(c).distinct().count(), rel=0.03)
+
+
 def test_ddl():
     found = catalog.from_ddl('CREATE TABLE IF NOT EXISTS m.t (id BIGINT PRIMARY KEY, "name" VARCHAR(10) NOT NULL, price NUMERIC(8,2), at TIMESTAMP, -- no\n x BLOB, CHECK (price > 0));'
                              "create table u (a int, b text, constraint k primary key (a, b));")
