@@ -194,14 +194,17 @@ class Engine:
                 self._block(g.severity, f"{g.id}: trust is {tier}, {g.level} is asked for ({'; '.join(reasons)})", notes)
 
     def _restricted(self, b: Binding, query: Query, planner: Planner, notes: Notes) -> None:
+        """Blocks questions that reach beyond the final rows: by the upper bound of their times or, where it is open, by the lower."""
         rule = self.resolver.finality(b)
         for g in self.resolver.guardrails(b, "restrict_source", query.context):
             notes.guardrails.setdefault(g.id, False)
-            if not rule:
+            if not rule or g.restrict_to != "final":
                 continue
             end = rule.role("final")
             cut = watermark(end.watermark, end.tz, query.as_of)
-            if (bound := time_bound(query, self.project.sources[b.source], planner)) and bound > cut.replace(tzinfo=None):
+            asked = time_window(query, self.project.sources[b.source], planner)
+            bound = asked.lower if asked.upper is None else asked.upper
+            if bound and bound > cut:
                 notes.guardrails[g.id] = True
                 self._block(g.severity, f"{g.id}: the time asked for reaches beyond {cut.isoformat()}", notes)
 
@@ -310,27 +313,18 @@ def dimension_names(dims: list[Dim]) -> list[str]:
     return [n if bare.count(n) == 1 else f"{d.alias}.{n}" for d, n in zip(dims, bare)]
 
 
-_BOUND = re.compile(r"\s*([\w.]+)\s*(<=|>=|<|>|=)\s*(?:date|timestamp)?\s*'([^']+)'\s*", re.I)
+def time_window(query: Query, source: Source, planner: Planner) -> sqlexpr.Window:
+    """What the query's filters leave of the source's own times."""
 
+    def is_time(parts: tuple[str, ...]) -> bool:
+        alias, column = planner.place(parts, source.name)
+        declared = source.column(column) if alias == source.name else None
+        return bool(declared and declared.type in ("date", "timestamp"))
 
-def time_bound(query: Query, source: Source, planner: Planner) -> datetime | None:
-    """The latest time that filters on a time column leave open: upper bounds, or else lower ones."""
-    upper, lower = [], []
+    found = sqlexpr.Window()
     for f in query.filters:
-        parts = re.split(r"\band\b", f, flags=re.I) if isinstance(f, str) else [f"{f.get('field')} {f.get('op', '=')} '{f.get('value')}'"]
-        for part in parts:
-            if not (found := _BOUND.fullmatch(part)):
-                continue
-            alias, column = planner.place(tuple(found[1].split(".")), source.name)
-            declared = source.column(column) if alias == source.name else None
-            if not declared or declared.type not in ("date", "timestamp"):
-                continue
-            try:
-                at = datetime.fromisoformat(found[3]).replace(tzinfo=None)
-            except ValueError:
-                continue
-            (lower if found[2] in (">", ">=") else upper).append(at)
-    return max(upper or lower, default=None)
+        found &= sqlexpr.window(planner.spark, f, is_time)
+    return found
 
 
 def close(found: Any, wanted: Any, tolerance: float) -> bool:

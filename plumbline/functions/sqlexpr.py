@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -89,6 +91,110 @@ def aggregate_of(spark: SparkSession, text: str) -> tuple[str, bool]:
     return "", False
 
 
+@dataclass(frozen=True)
+class Window:
+    """What a predicate leaves of a time: the least and the largest value, None where it is open; both may hold nothing."""
+
+    lower: datetime | None = None
+    upper: datetime | None = None
+
+    def __and__(self, other: Window) -> Window:
+        return Window(_of(max, self.lower, other.lower), _of(min, self.upper, other.upper))
+
+    def __or__(self, other: Window) -> Window:
+        both = lambda f, a, b: None if a is None or b is None else f(a, b)
+        return Window(both(min, self.lower, other.lower), both(max, self.upper, other.upper))
+
+
+def _of(choose: Callable, *given: datetime | None) -> datetime | None:
+    return choose((x for x in given if x is not None), default=None)
+
+
+#: Comparisons by class of Catalyst, and by operator: whether they bound from below and from above.
+_BOUNDS = {
+    "LessThan": (False, True), "LessThanOrEqual": (False, True), "GreaterThan": (True, False), "GreaterThanOrEqual": (True, False), "EqualTo": (True, True), "EqualNullSafe": (True, True),
+    "<": (False, True), "<=": (False, True), ">": (True, False), ">=": (True, False), "=": (True, True),
+}
+_NEGATED = {"LessThan": "GreaterThanOrEqual", "LessThanOrEqual": "GreaterThan", "GreaterThan": "LessThanOrEqual", "GreaterThanOrEqual": "LessThan"}
+
+
+def window(spark: SparkSession, given: Any, is_time: Callable[[tuple[str, ...]], bool]) -> Window:
+    """What a filter, written or structured, leaves of the times that is_time names; times without a zone are UTC."""
+    if isinstance(given, str):
+        return _window(spark, _parse(spark, dates(given)), is_time, False)
+    op, value = str(given.get("op", "=")).upper(), given.get("value")
+    if not is_time(tuple(str(given.get("field")).split("."))):
+        return Window()
+    if op == "IN":
+        found = [_instant(spark, F.lit(v)) for v in value or ()]
+        return Window(min(found), max(found)) if found and None not in found else Window()
+    below, above = _BOUNDS.get(op, (False, False))
+    at = _instant(spark, F.lit(value))
+    return Window(at if below else None, at if above else None)
+
+
+def _window(spark: SparkSession, node: Any, is_time: Callable[[tuple[str, ...]], bool], negated: bool) -> Window:
+    kind = node.getClass().getSimpleName()
+    children = node.children()
+    parts = [children.apply(i) for i in range(children.size())]
+
+    def named(x: Any) -> bool:
+        while x.getClass().getSimpleName() == "Cast":
+            x = x.children().apply(0)
+        if x.getClass().getSimpleName() != "UnresolvedAttribute":
+            return False
+        names = x.nameParts()
+        return is_time(tuple(names.apply(i) for i in range(names.size())))
+
+    if kind in ("And", "Or"):
+        left, right = (_window(spark, x, is_time, negated) for x in parts)
+        return left & right if (kind == "And") is not negated else left | right
+    if kind == "Not":
+        return _window(spark, parts[0], is_time, not negated)
+    if kind == "UnresolvedFunction" and str(node.nameParts().apply(0)).lower() == "between" and named(parts[0]) and not negated:
+        return Window(_constant(spark, parts[1]), _constant(spark, parts[2]))
+    if kind == "In" and named(parts[0]) and not negated:
+        found = [_constant(spark, x) for x in parts[1:]]
+        return Window(min(found), max(found)) if found and None not in found else Window()
+    if kind in _BOUNDS and len(parts) == 2:
+        if negated:
+            if kind not in _NEGATED:
+                return Window()
+            kind = _NEGATED[kind]
+        below, above = _BOUNDS[kind]
+        if named(parts[1]):
+            parts, (below, above) = parts[::-1], (above, below)
+        if named(parts[0]):
+            at = _constant(spark, parts[1])
+            return Window(at if below else None, at if above else None)
+    return Window()
+
+
+def _constant(spark: SparkSession, node: Any) -> datetime | None:
+    """The value of a constant expression as a time; None if it is none."""
+    if any(x.getClass().getSimpleName() == "UnresolvedAttribute" and x.name().lower() not in _NILADIC for x in _walk(node, [])):
+        return None
+    return _instant(spark, F.expr(node.sql()))
+
+
+def _instant(spark: SparkSession, value: Column) -> datetime | None:
+    try:
+        row = spark.range(1).select(value.alias("v"))
+        kind = row.schema["v"].dataType.typeName()
+        zoned = kind == "timestamp"
+        # A text may carry a zone of its own.
+        if kind == "string" and (text := row.first()[0]) and _ZONED.search(text.strip()):
+            value, zoned = F.to_timestamp(value), True
+        micros = F.unix_micros(value.cast("timestamp")) if zoned else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value.cast("timestamp_ntz"))
+        found = spark.range(1).select(micros.alias("v")).first()[0]
+    except PySparkException:
+        return None
+    return None if found is None else datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=found)
+
+
+_ZONED = re.compile(r"\d{2}:\d{2}.*(?:[zZ]|[+-]\d{2}:?\d{2})$")
+
+
 AGGREGATES = {"SUM", "COUNT", "MIN", "MAX", "AVG", "MEAN", "MEDIAN", "STDDEV", "VARIANCE", "PERCENTILE", "PERCENTILE_CONT", "PERCENTILE_DISC", "COUNT_IF", "ANY_VALUE", "FIRST", "LAST", "APPROX_COUNT_DISTINCT"}
 ADDITIVE = {"SUM", "COUNT", "MIN", "MAX"}
 OPERATORS = ("=", "!=", "<>", "<=", ">=", "<", ">", "LIKE", "IN")

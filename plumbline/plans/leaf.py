@@ -187,7 +187,7 @@ class Planner:
         out = []
         for alias, source in [(owner, owner), *((e.alias, e.join.to) for e in edges)]:
             if column := tenancy.scoped.get(source):
-                # On a joined side that has no match the tenant is null: such rows of the owner stay.
+                # On a joined side that has no match the tenant is null, and the row goes.
                 own = F.col(q(alias, column)) == F.lit(self.policy.tenant)
                 out.append((own, f"tenant:{alias}"))
                 self.notes.tenants.append(f"{alias}.{column}")

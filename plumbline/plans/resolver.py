@@ -88,7 +88,8 @@ class Resolver:
             return g.source == b.source and (g.measure is None or g.measure == measure)
 
         asked = {"mandatory_filter": lambda g: True, "required_dimension": lambda g: g.context in (None, context)}
-        fits = asked.get(kind, lambda g: g.context is not None and g.context == context or g.context is None)
+        # The other kinds are for one context, and only queries that state it.
+        fits = asked.get(kind, lambda g: context is not None and g.context == context)
         return sorted((g for g in self.project.guardrails if g.kind == kind and applies(g) and fits(g)), key=lambda g: g.id)
 
     def finality(self, b: Binding) -> FinalityRule | None:

@@ -241,6 +241,29 @@ def test_guardrails(make):
     assert ask(engine, "revenue", where=["order_date < '2025-04-01'"], as_of="2025-03-14T09:00:00")
 
 
+@pytest.mark.parametrize(
+    "where, allowed",
+    [("order_date <= '2025-03-10'", True), ("order_date <= '2025-04-01'", False), ("created_at between '2025-01-01' and '2025-04-01'", False), ("created_at between '2025-01-01' and date '2025-03-01'", True),
+     ("created_at <= timestamp '2025-04-01'", False), ("'2025-04-01' >= created_at", False), ("'2025-03-01' >= created_at", True), ("created_at <= '2025-03-01' and created_at <= '2025-04-01'", True),
+     ("created_at <= '2025-03-01' or created_at <= '2025-04-01'", False), ("created_at >= '2025-04-01'", False), ("created_at >= '2025-03-01'", True), ("not created_at > '2025-04-01'", False),
+     ("created_at in ('2025-03-01', '2025-04-01')", False), ("created_at = cast('2025-04-01' as timestamp)", False), ("created_at < current_date()", False), ("created_at <= '2025-03-14T01:00:00+02:00'", True),
+     ("created_at <= '2025-03-13T23:59:59'", True), ("created_at <= '2025-03-14T00:00:00'", False), ("status = 'completed'", True), ({"field": "created_at", "op": "<=", "value": "2025-04-01"}, False),
+     ({"field": "created_at", "op": "IN", "value": ["2025-03-01"]}, True)],
+)
+def test_questions_beyond_the_final_rows(make, where, allowed):
+    final = {"id": "final-only", "kind": "restrict_source", "applies_to": {"metric": "revenue"}, "restrict_to": {"role": "final"}, "context": "board"}
+    anywhere = {**final, "id": "no-context"}
+    del anywhere["context"]
+    more = {"where": [where], "as_of": "2025-03-14T09:00:00"}
+    engine = make(guardrails=[final], finality=FINALITY)
+    if allowed:
+        assert ask(engine, "revenue", context="board", **more).guardrails == [{"id": "final-only", "applied": False}]
+    else:
+        refused("guardrail_block", ask, engine, "revenue", context="board", **more)
+    # Without a context, of the query or of the guardrail, nothing is blocked.
+    assert ask(engine, "revenue", **more) and ask(make(guardrails=[anywhere], finality=FINALITY), "revenue", context="board", **more)
+
+
 TENANCY = {"schema": "tenancy/v1", "claim": "region", "scoped_sources": [{"source": "customers", "column": "region"}], "shared_sources": ["orders"]}
 ROLES = {"schema": "roles/v1", "claim": "roles", "default_role": "viewer", "roles": {
     "viewer": {"metrics": {"allow": ["revenue", "customers_n"]}}, "admin": {"inherits": "viewer", "metrics": {"allow": ["*"], "deny": ["aov"]}, "run_sql": True},
