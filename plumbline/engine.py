@@ -41,6 +41,13 @@ class Planned:
     finality: dict[str, Any] | None = None
     tenants: list[str] = field(default_factory=list)
     related: dict[str, list[str]] = field(default_factory=dict)
+    signals: list[trust.Signal] = field(default_factory=list)
+
+    def served_trust(self, stale: tuple[str, ...] = (), wrong: tuple[str, ...] = ()) -> tuple[str, list[str]]:
+        """The tier of the answer as served, and why: what was known before, provisional rows in it (runs it), stale sources, metrics confirmed wrong."""
+        asked = set(self.resolved.values())
+        late = trust.served_signals(self.finality_rows().get("provisional", 0), stale, tuple(m for m in wrong if m in asked))
+        return trust.score([*self.signals, *late])
 
     def finality_rows(self) -> dict[str, int]:
         """Final and provisional rows of the answer (runs it)."""
@@ -165,7 +172,7 @@ class Engine:
         finality = {"watermark": min(k["watermark"] for k in known), "sources": sorted({s for k in known for s in k["sources"]})} if known else None
         guards = [{"id": g, "applied": a} for g, a in sorted(notes.guardrails.items())]
         resolved = {asked: b.metric for asked, b in zip(query.metrics, bindings)}
-        return Planned(df, query, resolved, guards, notes.warnings, tier, reasons, finality, sorted(set(notes.tenants)), self._related(bindings, query, policy))
+        return Planned(df, query, resolved, guards, notes.warnings, tier, reasons, finality, sorted(set(notes.tenants)), self._related(bindings, query, policy), signals)
 
     def _block(self, severity: str, text: str, notes: Notes) -> None:
         if severity == "error":
@@ -298,7 +305,8 @@ class Engine:
         line = {
             "event": "served_answer", "ts": datetime.now().astimezone().isoformat(), "query": asked, "error": error,
             "query_hash": hashlib.sha256(json.dumps(asked, sort_keys=True).encode()).hexdigest(), "latency_ms": seconds * 1000,
-            "resolved": planned.resolved if planned else {}, "trust_tier": planned.tier if planned else None,
+            "resolved": planned.resolved if planned else {}, "trust_tier": planned.tier if planned else None, "stale": False,
+            "bytes_scanned": scanned(planned.df) if planned else None, "guardrails": [g["id"] for g in planned.guardrails if g["applied"]] if planned else [],
         }
         try:
             with open(self.log, "a", encoding="utf-8") as file:
@@ -307,6 +315,13 @@ class Engine:
             pass
 
 
+def scanned(df: DataFrame) -> int | None:
+    """Bytes of the tables that the plan reads, by Spark's statistics; nothing runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(sizes) if all(s < 2**60 for s in sizes) else None
+
+
 def dimension_names(dims: list[Dim]) -> list[str]:
     """Bare names, save those that repeat, which keep their role."""
     bare = [d.dimension.name for d in dims]

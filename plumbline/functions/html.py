@@ -1,43 +1,46 @@
-"""Web pages to text."""
+"""Web pages to text: a title, and every text node stripped on a line of its own.
+
+A page is cut at its markup by one pattern that reads every character once: comments and
+declarations, script and style elements with all that is in them, and tags.  What isn't
+closed reaches to the end of the page.  Between the cuts is text, in which entities are
+resolved.
+"""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.title, self.parts, self.skipping, self.in_title = "", [], 0, False
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.skipping += tag in ("script", "style")
-        self.in_title = tag == "title"
-
-    def handle_endtag(self, tag: str) -> None:
-        self.skipping = max(0, self.skipping - (tag in ("script", "style")))
-        self.in_title = False
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title += data.strip()
-        elif not self.skipping and data.strip():
-            self.parts.append(data.strip())
+# Attribute values in quotes may hold what closes a tag; a quote that isn't closed is a character like others.
+_REST = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+(?:>|\Z)"""
+_MARKUP = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*){_REST}|<[!?/][^>]*(?:>|\Z)", re.S | re.I
+)
 
 
 def read(html: str | None) -> tuple[str, str]:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    return reader.title, "\n".join(reader.parts)
+    """Title and text of a page; null counts as empty."""
+    html = html or ""
+    title, lines, at, inside = "", [], 0, False
+    for cut in [*_MARKUP.finditer(html), None]:
+        text = unescape(html[at : cut.start() if cut else len(html)])
+        if inside:
+            title += text
+        elif text := text.strip():
+            lines.append(text)
+        if cut:
+            at = cut.end()
+            if (cut["name"] or "").lower() == "title":
+                inside = not cut["end"]
+    return title.strip(), "\n".join(lines)
 
 
 def page_text(html: Column) -> Column:
-    """A struct of title and text: every text node stripped, one to a line; script and style left out."""
+    """A struct of title and text."""
 
     @F.pandas_udf("title string, text string")
     def parse(pages: pd.Series) -> pd.DataFrame:

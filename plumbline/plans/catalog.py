@@ -288,35 +288,51 @@ SELECT event_id AS seq, ts, CASE WHEN event_type IN ('view', 'error') THEN 'serv
   CASE WHEN event_type IN ('view', 'error') THEN CAST(user_id AS STRING) END AS query_hash, CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(user_id AS STRING) END AS ref,
   CASE WHEN event_type = 'error' THEN CASE WHEN value > 50 THEN 'unresolved' ELSE 'unreachable' END END AS error, CAST(value AS DOUBLE) AS latency_ms,
   CASE WHEN value > 30 THEN 'trusted' ELSE 'provisional' END AS trust_tier, CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'signup' THEN 'wrong_definition' END AS outcome,
-  CASE WHEN event_type = 'click' THEN CONCAT('step', CAST(user_id % 5 AS STRING)) END AS milestone, CONCAT('m', CAST(user_id % 7 AS STRING)) AS binding FROM {}"""
+  CASE WHEN event_type = 'click' THEN CASE user_id % 5 {milestones} END END AS milestone, CONCAT('m', CAST(user_id % 7 AS STRING)) AS binding,
+  CASE WHEN event_type IN ('view', 'error') AND user_id % 3 > 0 THEN user_id * 100 END AS bytes_scanned, event_type = 'view' AND value < 10 AS stale, user_id % 4 AS fired FROM {table}"""
+# The last milestone is met by no row.
+_LOG = _LOG.replace("{milestones}", " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(event_logs.MILESTONES[:-1])))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = spark.sql(_LOG.format("{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    log = spark.sql(_LOG.format(table="{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    guardrails = F.transform(F.sequence(F.lit(1), F.col("fired")), lambda i: i.cast("string"))
+    log = log.withColumn("guardrails", F.when(F.col("fired") > 0, guardrails).otherwise(F.array().cast("array<string>"))).drop("fired")
     return log.withColumn("resolved", F.create_map(F.lit("metric"), F.col("binding")))
 
 
 def _log_query(name: str, report: Callable[[DataFrame], DataFrame], sql: str) -> None:
     QUERIES[name] = lambda spark, d: report(event_log(spark, d))
-    ORACLE_SQL[name] = f"WITH log AS ({_LOG.format('events').replace('STRING', 'VARCHAR')}) {sql}"
+    ORACLE_SQL[name] = f"WITH log AS ({_LOG.format(table='events').replace('STRING', 'VARCHAR')}) {sql}"
 
 
 _LAST = "(SELECT ref, outcome, ts FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY seq DESC) AS n FROM log WHERE ref IS NOT NULL) WHERE n = 1)"
 _SERVED = "(SELECT query_hash, trust_tier, binding FROM (SELECT *, row_number() OVER (PARTITION BY query_hash ORDER BY seq DESC) AS n FROM log WHERE event = 'served_answer') WHERE n = 1)"
-_log_query(
-    "event_report", lambda log: event_logs.answer_report(log).withColumn("latency_avg", F.round("latency_avg", 4)),
-    """SELECT count(*) AS answers, count(error) AS errors, min(latency_ms) AS latency_min, max(latency_ms) AS latency_max, round(avg(latency_ms), 4) AS latency_avg,
-    quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95 FROM log WHERE event = 'served_answer'""",
-)
+_ANSWERS = """count(*) AS answers, count(error) AS errors, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts, min(latency_ms) AS latency_min, max(latency_ms) AS latency_max,
+    round(avg(latency_ms), 4) AS latency_avg, sum(bytes_scanned)::BIGINT AS bytes_total, min(bytes_scanned) AS bytes_min, max(bytes_scanned) AS bytes_max, round(avg(bytes_scanned), 4) AS bytes_avg,
+    count(*) FILTER (stale) AS stale_answers, count(*) FILTER (fired > 0) AS guardrail_coverage, quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95"""
+
+
+def _averages(df: DataFrame) -> DataFrame:
+    return df.withColumn("latency_avg", F.round("latency_avg", 4)).withColumn("bytes_avg", F.round("bytes_avg", 4))
+
+
+_log_query("event_report", lambda log: _averages(event_logs.answer_report(log)), f"SELECT {_ANSWERS} FROM log WHERE event = 'served_answer'")
+_log_query("event_recent", lambda log: event_logs.recent(log).select("seq", "query_hash", "error"), "SELECT seq, query_hash, error FROM log WHERE event = 'served_answer' ORDER BY seq DESC LIMIT 10")
+_log_query("error_distribution", event_logs.error_distribution, "SELECT coalesce(error, 'ok') AS error, count(*) AS answers FROM log WHERE event = 'served_answer' GROUP BY 1")
 _log_query("errors_by_code", lambda log: event_logs.errors_by_code(log), "SELECT error, count(*) AS answers FROM log WHERE error IS NOT NULL GROUP BY 1")
 _log_query("latest_outcomes", lambda log: event_logs.latest_outcomes(log), f"SELECT ref, outcome, ts FROM {_LAST}")
+_TIERS = f"SELECT s.trust_tier AS tier, count(*) AS judged, count(*) FILTER (outcome LIKE 'wrong%') AS incorrect, count(*) FILTER (outcome LIKE 'wrong%') / count(*)::DOUBLE AS incorrect_rate FROM {_LAST} o JOIN {_SERVED} s ON o.ref = s.query_hash WHERE s.trust_tier IS NOT NULL GROUP BY 1"
+_RECUR = f"SELECT s.binding, count(*) AS corrections FROM {_LAST} o JOIN {_SERVED} s ON o.ref = s.query_hash WHERE o.outcome LIKE 'wrong%' GROUP BY 1 HAVING count(*) > 1"
+_log_query("calibration", event_logs.calibration, _TIERS)
+_log_query("calibration_unmatched", event_logs.unmatched, f"SELECT count(*) FILTER (s.trust_tier IS NULL) AS unmatched FROM {_LAST} o LEFT JOIN {_SERVED} s ON o.ref = s.query_hash")
+_log_query("recurring_corrections", event_logs.recurring_corrections, _RECUR)
+_REACHED = f"(SELECT coalesce(list(m ORDER BY i), []) FROM (SELECT unnest({list(event_logs.MILESTONES)}) AS m, unnest(range({len(event_logs.MILESTONES)})) AS i) WHERE m IN (SELECT milestone FROM log WHERE milestone IS NOT NULL))"
+_FIRST = "(SELECT arg_min(ts, seq) FROM log WHERE milestone = '{}')"
+_TOOK = f"(epoch_us({_FIRST.format('first_answer_served')}) - epoch_us({_FIRST.format('setup_started')})) / 1e6"
 _log_query(
-    "calibration", lambda log: event_logs.calibration(log),
-    f"SELECT s.trust_tier AS tier, count(*) AS judged, count(*) FILTER (outcome = 'correct') AS correct FROM {_LAST} o LEFT JOIN {_SERVED} s ON o.ref = s.query_hash GROUP BY 1",
-)
-_log_query(
-    "recurring_corrections", lambda log: event_logs.recurring_corrections(log),
-    f"SELECT s.binding, count(*) AS corrections FROM log o JOIN {_SERVED} s ON o.ref = s.query_hash WHERE o.outcome LIKE 'wrong%' GROUP BY 1 HAVING count(*) > 1",
+    "funnel_report", lambda log: event_logs.funnel_report(log).withColumn("reached", F.array_join("reached", ",")),
+    f"SELECT array_to_string(r, ',') AS reached, {_TOOK} AS time_to_first_answer_seconds, CASE WHEN len(r) BETWEEN 1 AND 4 THEN r[-1] END AS dropped_after FROM (SELECT {_REACHED} AS r)",
 )
 _log_query("funnel", lambda log: event_logs.funnel(log), "SELECT milestone, min(seq) AS place, arg_min(ts, seq) AS first FROM log WHERE event = 'funnel_milestone' GROUP BY 1")
 _log_query(
@@ -324,7 +340,23 @@ _log_query(
     """SELECT binding FROM (SELECT *, row_number() OVER (PARTITION BY binding ORDER BY seq DESC) AS n FROM log WHERE outcome IS NOT NULL) WHERE n = 1 AND outcome = 'wrong_definition'
     AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY""",
 )
-_log_query("telemetry", lambda log: event_logs.telemetry(log), "SELECT event, error, count(*) AS n FROM log GROUP BY 1, 2")
+_log_query("event_counts", event_logs.event_counts, "SELECT event, error, count(*) AS n FROM log GROUP BY 1, 2")
+
+
+def _payload(log: DataFrame) -> DataFrame:
+    tier = F.transform("trust_calibration", lambda x: F.concat_ws(":", x["tier"], x["judged"], x["incorrect"]))
+    errors = F.transform(F.map_entries("error_distribution"), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    made = _averages(event_logs.telemetry(log, accuracy=0.5)).withColumns({"trust_calibration": F.array_join(tier, ","), "error_distribution": F.array_join(errors, ",")})
+    return made.withColumn("funnel_reached", F.array_join("funnel_reached", ","))
+
+
+_log_query(
+    "telemetry", _payload,
+    f"""SELECT '1' AS schema_version, a.* EXCLUDE (answers, errors, first_ts, last_ts, stale_answers, guardrail_coverage), answers AS answer_count, stale_answers AS stale_answer_count,
+    guardrail_coverage AS guardrail_hit_count, (SELECT string_agg(e || ':' || n, ',' ORDER BY e) FROM (SELECT coalesce(error, 'ok') AS e, count(*) AS n FROM log WHERE event = 'served_answer' GROUP BY 1)) AS error_distribution,
+    (SELECT string_agg(tier || ':' || judged || ':' || incorrect, ',' ORDER BY tier) FROM ({_TIERS})) AS trust_calibration, (SELECT count(*) FROM ({_RECUR})) AS recurring_binding_count,
+    array_to_string({_REACHED}, ',') AS funnel_reached, {_TOOK} AS time_to_first_answer_seconds, 0.5::DOUBLE AS accuracy FROM (SELECT {_ANSWERS} FROM log WHERE event = 'served_answer') a""",
+)
 
 # Retrieval over documents and embeddings.
 SEARCH = "token password the"
@@ -358,16 +390,31 @@ QUERIES["bm25_search"], ORACLE_SQL["bm25_search"] = lambda spark, d: _rounded(_b
 QUERIES["cosine_search"], ORACLE_SQL["cosine_search"] = lambda spark, d: _rounded(_cosine(spark, d)), f"WITH {_COS} SELECT doc_id, round(score, 6) AS score FROM cs"
 QUERIES["rrf_search"] = lambda spark, d: _rounded(retrieval.fuse([(_bm25(spark, d), 1.0), (_cosine(spark, d), 1.0)], "doc_id"))
 _RANK = "SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM {}"
-ORACLE_SQL["rrf_search"] = f"WITH {_BM25}, {_COS} SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM ({_RANK.format('bm')}) WHERE r < 200 UNION ALL SELECT * FROM ({_RANK.format('cs')}) WHERE r < 200) GROUP BY 1"
+ORACLE_SQL["rrf_search"] = f"WITH {_BM25}, {_COS} SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM ({_RANK.format('bm')} UNION ALL {_RANK.format('cs')}) GROUP BY 1"
 QUERIES["page_text"] = lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", page_text(F.col("html")).alias("t")).select("page_id", "t.*")
-
-
-def _column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_stats(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+# The entities are those that these pages have.
+_PLAIN = "trim(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), E' \\t\\n\\r')"
+_CUT = "regexp_replace(coalesce(html, ''), '<!--.*?-->|<script[\\s>].*?</script>|<style[\\s>].*?</style>', chr(1), 'gis')"
+_TITLE = "<title[^>]*>(.*?)</title>"
+ORACLE_SQL["page_text"] = f"""WITH c AS (SELECT page_id, {_CUT} AS h FROM pages), s AS (SELECT page_id, regexp_extract(h, '{_TITLE}', 1, 'is') AS title,
+  string_split(regexp_replace(regexp_replace(h, '{_TITLE}', chr(1), 'gis'), '<[^>]*>', chr(1), 'g'), chr(1)) AS parts FROM c)
+SELECT page_id, {_PLAIN.format('title')} AS title, array_to_string(list_filter(list_transform(parts, lambda x: {_PLAIN.format('x')}), lambda x: x <> ''), chr(10)) AS text FROM s"""
 
 
 _ORDER_COLUMNS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
-QUERIES["column_stats"] = _column_stats
+QUERIES["column_stats"] = lambda spark, d: column_stats(spark.read.parquet(f"{d}/orders.parquet"), exact=True)
 ORACLE_SQL["column_stats"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", avg(({c} IS NULL)::INT)::DOUBLE AS null_fraction, count(DISTINCT {c}) >= count(*) * 0.97 AS is_unique FROM orders" for c in _ORDER_COLUMNS
-)
+    f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) / count(*)::DOUBLE AS uniqueness_ratio, avg(({c} IS NULL)::INT)::DOUBLE AS null_fraction,
+    count(DISTINCT {c}) = count(*) AND count(*) > 0 AS is_unique FROM orders""" for c in _ORDER_COLUMNS
+)
+
+
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    real = column_stats(orders, exact=True).select("column", F.col("n_distinct").alias("real"), F.col("is_unique").alias("unique"))
+    near = F.abs(F.col("n_distinct") - F.col("real")) <= F.col("real") * 0.05
+    return column_stats(orders).join(real, "column").select("column", near.alias("near"), (F.col("is_unique") == F.col("unique")).alias("settled"))
+
+
+QUERIES["column_estimates"] = _estimates
+ORACLE_SQL["column_estimates"] = f"SELECT unnest({_ORDER_COLUMNS}) AS \"column\", true AS near, true AS settled"

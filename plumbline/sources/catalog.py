@@ -111,10 +111,10 @@ def select_relations(names: list[str], schemas: tuple[str, ...] = (), tables: tu
 SETTLE = 0.9
 
 
-def column_stats(df: DataFrame) -> DataFrame:
+def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     """column, n_distinct (nulls not counted), uniqueness_ratio, null_fraction and is_unique: whether every row has a value of its own.
 
-    One pass estimates the counts; a second one counts the columns that may be unique exactly.
+    One pass estimates the counts; a second one counts the columns that may be unique exactly, or all with ``exact``.
     A row of numbers for each column comes to the driver.
     """
     text = {c: F.col("`" + c.replace("`", "``") + "`").cast("string") for c in df.columns}
@@ -123,12 +123,12 @@ def column_stats(df: DataFrame) -> DataFrame:
     nulls = [F.avg(text[c].isNull().cast("double")).alias(f"n{i}") for i, c in enumerate(names)]
     told = df.agg(F.count(F.lit(1)).alias("rows"), *sketches, *nulls).first()
     total = told["rows"]
-    near = [i for i in range(len(names)) if told[f"d{i}"] >= total * SETTLE]
-    exact = df.agg(*[F.count_distinct(text[names[i]]).alias(f"d{i}") for i in near]).first().asDict() if near else {}
+    near = [i for i in range(len(names)) if exact or told[f"d{i}"] >= total * SETTLE]
+    counted = df.agg(*[F.count_distinct(text[names[i]]).alias(f"d{i}") for i in near]).first().asDict() if near else {}
     out = []
     for i, c in enumerate(names):
-        n = exact.get(f"d{i}", told[f"d{i}"])
-        out.append((c, n, n / total if total else None, told[f"n{i}"], n == total))
+        n = counted.get(f"d{i}", told[f"d{i}"])
+        out.append((c, n, n / total if total else None, told[f"n{i}"], 0 < n == total))
     schema = "column string, n_distinct long, uniqueness_ratio double, null_fraction double, is_unique boolean"
     return df.sparkSession.createDataFrame(out, schema)
 
