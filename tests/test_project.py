@@ -206,18 +206,31 @@ def test_dbt():
 def test_event_log(spark, tmp_path):
     at = lambda m: f"2025-01-01T00:{m:02}:00Z"
     lines = [
-        {"event": "served_answer", "ts": at(0), "seq": 1, "query_hash": "h", "latency_ms": 10, "trust_tier": "trusted", "resolved": {"r": "revenue"}},
+        {"event": "served_answer", "ts": at(0), "seq": 1, "query_hash": "h", "latency_ms": 10, "trust_tier": "trusted", "resolved": {"r": "revenue"}, "bytes_scanned": 500, "stale": True, "guardrails": ["g"]},
         {"event": "served_answer", "ts": at(1), "seq": 2, "query_hash": "g", "latency_ms": 30, "error": "unresolved", "trust_tier": "caution", "resolved": {}},
         {"event": "answer_outcome", "ts": at(2), "seq": 3, "ref": "h", "outcome": "wrong_definition", "binding": "b"}, {"event": "answer_outcome", "ts": at(3), "seq": 4, "ref": "h", "outcome": "wrong_definition", "binding": "b"},
         {"event": "answer_outcome", "ts": at(4), "seq": 5, "ref": "z", "outcome": "correct", "binding": "c"}, {"event": "funnel_milestone", "ts": at(5), "seq": 6, "milestone": "first"},
     ]
     (tmp_path / "log.json").write_text("\n".join(map(json.dumps, lines)))
     log = spark.read.schema(event_log.SCHEMA).json(str(tmp_path))
-    assert event_log.answer_report(log).first()[:3] == (2, 1, 10.0)
-    assert {(r.tier, r.judged, r.correct) for r in event_log.calibration(log).collect()} == {("trusted", 1, 0), (None, 1, 1)}
-    assert event_log.recurring_corrections(log).collect() == [("revenue", 2)]
+    told = event_log.answer_report(log).first()
+    assert (told.answers, told.errors, told.latency_min, told.latency_p50, told.latency_p95, told.bytes_total, told.stale_answers, told.guardrail_coverage) == (2, 1, 10.0, 10.0, 30.0, 500, 1, 1)
+    assert event_log.calibration(log).collect() == [("trusted", 1, 1, 1.0)] and event_log.unmatched(log).first().unmatched == 1
+    # An answer that was marked again counts once; one that was right in the end doesn't count.
+    assert event_log.recurring_corrections(log).count() == 0
+    again = [{"event": "served_answer", "seq": 7, "query_hash": "k", "resolved": {"r": "revenue"}}, {"event": "answer_outcome", "seq": 8, "ref": "k", "outcome": "wrong_data"}]
+    (tmp_path / "more.json").write_text("\n".join(map(json.dumps, again)))
+    more = spark.read.schema(event_log.SCHEMA).json(str(tmp_path))
+    assert event_log.recurring_corrections(more).collect() == [("revenue", 2)]
+    (tmp_path / "more.json").unlink()
+    reached = event_log.funnel_report(log, ("first", "second")).first()
+    assert (reached.reached, reached.dropped_after) == (["first"], "first") and event_log.funnel_report(log).first().dropped_after is None
+    payload = event_log.telemetry(log, accuracy=0.5).first().asDict()
+    assert payload["error_distribution"] == {"ok": 1, "unresolved": 1} and payload["accuracy"] == 0.5 and "baseline_accuracy" not in payload
+    none = log.limit(0)
+    assert event_log.answer_report(none).first().answers == 0 and event_log.telemetry(none).first().answer_count == 0
     assert [r.binding for r in event_log.capped_bindings(log, 7, "2025-01-02").collect()] == ["b"] and not event_log.capped_bindings(log, 7, "2025-02-02").count()
-    assert event_log.funnel(log).first().milestone == "first" and event_log.telemetry(log).count() == 4
+    assert event_log.funnel(log).first().milestone == "first" and event_log.event_counts(log).count() == 4
     query = stream.windowed(stream.follow(spark, str(tmp_path))).writeStream.format("memory").queryName("told").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.error, r.answers) for r in spark.table("told").collect()} == {(None, 1), ("unresolved", 1)}
