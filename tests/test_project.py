@@ -283,7 +283,7 @@ def test_knowledge():
 def test_html():
     assert read_html("<title> T </title><p>a <b>b</b></p><script>x</script><style>y</style>c") == ("T", "a\nb\nc")
     assert read_html(None) == ("", "")
-    assert read_html('<a title="a>b">x</a><b c=\'>\'>y</b>&amp;<!-- <p>z --><p d="e>f') == ("", "x\ny\n&")
+    assert read_html('<a title="a>b">x</a><b c=\'>\'>y</b>&amp;<!-- <p>z --><p d="e>f') == ("", "x\ny\n&\nf")
     assert read_html("a<br/>b < c<script>d") == ("", "a\nb < c")
     for odd in ("<a ", "<", '<a b="', "<!--", "<script>", "</", "&"):
         began = time.time()
