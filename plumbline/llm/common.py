@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 from typing import Any
@@ -47,10 +48,17 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, set here only where none is."""
+    """The session's checkpoint folder.  A folder of our own is made only where none is set and Spark runs in one process.
+
+    Raises ValueError on a cluster without one: a local folder would lose what other machines write.
+    """
     context = spark.sparkContext
+    # Checkpoints whose DataFrames are gone are deleted; without this they stay until somebody cleans up.
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -61,6 +69,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Parquet tables in the shared checkpoint folder, by name.
+
+    ``drop`` deletes what nothing reads any more; the rest goes when the driver's JVM ends, as
+    results that aren't computed yet may read it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self._at("").deleteOnExit(self._path(""))
+
+    def _path(self, name: str) -> Any:
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _at(self, name: str) -> Any:
+        return self._path(name).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._at(name).delete(self._path(name), True)
+        # The shuffles that made them stay on disk until the driver collects its garbage.
+        self.spark._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -74,48 +111,74 @@ def uniform(*cols: Column) -> Column:
 
 
 class Bitmap:
-    """Which keys a table may hold, in a bitmap of 2 ** bits bits; small enough to broadcast whatever the table.
+    """Which keys a table may hold, in a bitmap that is small enough to broadcast whatever the table.
 
-    A key that the table holds is always marked; another may be marked too, so a mark is
-    followed by an exact step.
+    It has about 16 bits for each key, 2 ** LEAST_BITS at least and 2 ** MOST_BITS (32 MB) at
+    most.  A key that the table holds is always marked; another may be marked too, so a mark is
+    followed by an exact step, and a full bitmap costs time, never a result.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], bits: int = 23) -> None:
-        self.keys, self.bits = list(keys), bits
-        slots = df.select(self._slot().alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        self.rows = cut(slots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")))
+    LEAST_BITS, MOST_BITS = 15, 28
+
+    def __init__(self, df: DataFrame, keys: Sequence[str]) -> None:
+        self.keys = list(keys)
+        hashes = cut(df.select(F.xxhash64(*[col(k) for k in self.keys]).alias("hash")))
+        wanted = max(1, 16 * hashes.count()).bit_length()
+        self.bits = min(max(wanted, self.LEAST_BITS), self.MOST_BITS)
+        slot = hashes.select(self._slot(F.col("hash")).alias("slot"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+        word = F.shiftright("slot", 6).alias("word")
+        words = slot.groupBy(word).agg(F.bit_or(bit).alias("bits")).withColumn("bucket", F.shiftright("word", 9))
+        held = F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(511)).alias("at"), "bits")))
+        dense = F.expr("transform(sequence(0L, 511L), i -> coalesce(held[i], 0L))")
+        self.rows = cut(words.groupBy("bucket").agg(held.alias("held")).select("bucket", dense.alias("bitmap")))
 
-    def _slot(self) -> Column:
-        return F.pmod(F.xxhash64(*[col(k) for k in self.keys]), F.lit(1 << self.bits)) + 1
+    def _slot(self, hashed: Column) -> Column:
+        return F.pmod(hashed, F.lit(1 << self.bits))
 
     def mark(self, df: DataFrame, flag: str) -> DataFrame:
         """df, which has the keys under the same names, with the boolean column flag."""
-        bucket, bitmap = fresh(df, "bucket", "bitmap")
+        slot, bucket, bitmap = fresh(df, "slot", "bucket", "bitmap")
         rows = self.rows.toDF(bucket, bitmap)
-        position = F.bitmap_bit_position(self._slot()).cast("int")
-        byte = F.substring(F.col(bitmap), F.shiftright(position, 3) + 1, F.lit(1))
-        bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), position % 8)
-        # At most 2 ** bits / 32768 rows of 4 KB.
-        joined = df.withColumn(bucket, F.bitmap_bucket_number(self._slot())).join(F.broadcast(rows), bucket, "left")
-        return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(bucket, bitmap)
+        df = df.withColumn(slot, self._slot(F.xxhash64(*[col(k) for k in self.keys])))
+        word = F.get(bitmap, F.shiftright(slot, 6).bitwiseAND(F.lit(511)).cast("int"))
+        bit = F.getbit(word, F.col(slot).bitwiseAND(F.lit(63)).cast("int"))
+        # At most 2 ** MOST_BITS / 32768 rows of 4 KB.
+        joined = df.withColumn(bucket, F.shiftright(slot, 15)).join(F.broadcast(rows), bucket, "left")
+        return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(slot, bucket, bitmap)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes that edges (a, b) link; the component is the least of its nodes.
 
-    Each round takes the least label around and then the label of that label, so rounds grow
-    with the logarithm of the longest chain.  Nothing but a count comes to the driver.
+    Each round every node takes the least node around it, labels are followed to their roots, and
+    the edges are contracted to the roots: those within one go, those between the same two become
+    one.  So what is joined shrinks from round to round, and a star or a chain takes one.  Nothing
+    but whether anything is left comes to the driver.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = nodes.select("node", F.col("node").alias("component"))
+    edges = edges.filter("a != b")
+    while not edges.isEmpty():
+        roots = _roots(edges.groupBy("b").agg(F.min("a").alias("root")))
+        step = roots.select(F.col("b").alias("component"), "root")
+        found = cut(found.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        left = edges.join(roots, "b").filter("a != root").select("a", F.col("root").alias("b")).distinct()
+        left = left.join(roots.select(F.col("b").alias("a"), "root"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b")
+        edges = cut(left.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return found
+
+
+def _roots(labels: DataFrame) -> DataFrame:
+    """(b, root) with the roots where labels that lead on to smaller ones end."""
     while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(around, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("new"))
-        up = labels.select(F.col("node").alias("new"), F.col("label").alias("above"))
-        step = cut(near.join(up, "new").select("node", F.least("new", "above").alias("new"), (F.col("label") != F.least("new", "above")).alias("moved")))
-        labels = step.select("node", F.col("new").alias("label"))
-        if step.filter("moved").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+        up = labels.select(F.col("b").alias("root"), F.col("root").alias("above"))
+        labels = cut(labels.join(up, "root", "left").select("b", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("on")))
+        on = labels.filter("on")
+        labels = labels.select("b", "root")
+        if on.isEmpty():
+            return labels
 
 
 def released(function: Batches) -> Batches:

@@ -3,8 +3,8 @@
 Documents are grouped by length, then by a hash of their first characters, then by a
 hash of the whole text.  Each level looks only at documents of groups that the level
 before left with more than one row.  What a level leaves is sent to the next as a bitmap
-of fixed size (``bits``), so no text is shuffled to find out whether a document can
-have a copy; a full bitmap costs time, never a result.
+of bounded size, so no text is shuffled to find out whether a document can have a copy; a
+full bitmap costs time, never a result.
 
 Texts are equal when identical after lower-casing A-Z.  Null texts count as empty.  Of
 equal texts the row with the largest id stays; null ids are smaller than any other.
@@ -18,12 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, col, cut, fresh, without
+from plumbline.llm.common import Bitmap, ascii_lower, col, fresh, without
 
 #: Characters that the second level hashes.
 PREFIX = 64
-#: 2 ** BITS bits are sent from each level to the next: 1 MB.
-BITS = 23
 RESULT = ("keep_id", "group_size", "kept")
 
 
@@ -36,48 +34,30 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
-class _Repeated:
-    """The keys that more than one row has, as a bitmap of fixed size."""
+def _repeated(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys that more than one row has."""
+    return df.groupBy(*keys).count().filter("count > 1").select(*keys)
 
-    def __init__(self, df: DataFrame, keys: list[str], bits: int) -> None:
-        self.keys, self.bits = keys, bits
-        slots = df.groupBy(*keys).count().filter("count > 1").select(self.slot().alias("slot"))
-        bitmap = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        self.rows = cut(bitmap.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")))
 
-    def slot(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(1 << self.bits)) + 1
-
-    def mark(self, df: DataFrame, flag: str) -> DataFrame:
-        """df with the column flag: false where the row is the only one of its key."""
-        bucket, bitmap = fresh(df, "bucket", "bitmap")
-        rows = self.rows.toDF(bucket, bitmap)
-        position = F.bitmap_bit_position(self.slot()).cast("int")
-        byte = F.substring(F.col(bitmap), F.shiftright(position, 3) + 1, F.lit(1))
-        bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), position % 8)
-        joined = df.withColumn(bucket, F.bitmap_bucket_number(self.slot())).join(F.broadcast(rows), bucket, "left")
-        return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(bucket, bitmap)
-
-
-def _refined(docs: DataFrame, text_col: str, bits: int) -> tuple[DataFrame, str, str, str, str]:
+def _refined(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, str, str, str]:
     """docs with its length, its prefix hash and whether its text may have a copy; these columns' names."""
     n, prefix, full, maybe, first = fresh(docs, "n", "prefix", "full", "maybe", "first")
     text = col(text_col)
     sized = docs.withColumn(n, F.octet_length(F.coalesce(text, F.lit(""))))
-    by_length = _Repeated(sized, [n], bits)
+    by_length = Bitmap(_repeated(sized, n), [n])
     marked = by_length.mark(sized, first)
     marked = marked.withColumn(
         prefix, F.when(F.col(first), F.xxhash64(normalised(F.substring(text, 1, PREFIX))))
     )
-    by_prefix = _Repeated(marked.filter(first), [n, prefix], bits)
+    by_prefix = Bitmap(_repeated(marked.filter(first), n, prefix), [n, prefix])
     marked = by_prefix.mark(marked, maybe).withColumn(maybe, F.col(first) & F.col(maybe)).drop(first)
     return marked, n, prefix, full, maybe
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with keep_id (id of the row that stays), group_size and kept."""
     docs = without(docs, [c for c in RESULT if c not in (id_col, text_col)])
-    marked, n, prefix, full, maybe = _refined(docs, text_col, bits)
+    marked, n, prefix, full, maybe = _refined(docs, text_col)
     copies = marked.filter(maybe).withColumn(full, digest(col(text_col)))
     same, keep, size = fresh(copies, "same", "keep", "size")
     groups = (
@@ -101,9 +81,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return alone.unionByName(result).withColumn("kept", col(id_col).eqNullSafe(F.col("keep_id")))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts; the columns are those of docs."""
-    marked, n, prefix, full, maybe = _refined(docs, text_col, bits)
+    marked, n, prefix, full, maybe = _refined(docs, text_col)
     copies = marked.filter(maybe).withColumn(full, digest(col(text_col)))
     (row,) = fresh(copies, "row")
     packed = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
