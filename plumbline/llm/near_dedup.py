@@ -16,8 +16,9 @@ are what links join, directly or over others.
   joined is compared: in buckets that still hold several classes, the nodes outside the
   largest class with every node of another class; in buckets of more than SMALL nodes block
   by block, with a product of incidence matrices, from which only a spanning forest of the
-  links comes out.  So a bucket of n copies that the hub joins costs n comparisons, no link
-  between classes of a bucket is left out, and all comparisons are of whole multisets.
+  classes comes out: fewer edges than classes.  Nodes of the largest class never meet one
+  another.  So a bucket of n copies that the hub joins costs n comparisons, no link between
+  classes of a bucket is left out, and all comparisons are of whole multisets.
 
 With 20 bands of 4 registers a link of similarity 0.8 shares no bucket with probability
 3e-5, one of 0.9 with 2e-10.
@@ -42,7 +43,7 @@ from plumbline.llm.common import Bitmap, col, components, cut, fresh, released
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Buckets of more nodes are settled in blocks of so many nodes and shingles.
-SMALL, BLOCK, BLOCK_MASS = 16, 1024, 1 << 21
+SMALL, BLOCK, BLOCK_MASS = 16, 512, 1 << 19
 #: Bytes of text, and texts, that a worker handles at once.
 SLICE, TEXTS = 1 << 20, 4095
 _U = np.uint64
@@ -256,31 +257,61 @@ def _in_small(apart: DataFrame, first: DataFrame, nodes: DataFrame, docs: DataFr
     return _verified(cut(pairs.join(first, ["a", "b"], "left_anti")), nodes, docs, threshold)
 
 
+def _joined(links: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    """(node, component) of nodes that links join, on top of the classes that are known."""
+    if joined is None:
+        return components(links)
+    for end in "ab":
+        at = joined.select(F.col("node").alias(end), F.col("component").alias("to"))
+        links = links.join(at, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    wider = components(links)
+    step = wider.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = joined.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # Nodes that were alone until now; the others are classes that are in old under their least node.
+    new = wider.join(joined.select("node"), "node", "left_anti")
+    return cut(old.unionByName(new))
+
+
 def _in_large(apart: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links that join what is linked in larger buckets: a tree for each, not all pairs.
+    """Links between classes of larger buckets: in each group of blocks a forest over the classes, not all pairs.
 
-    A bucket's nodes are dealt to blocks of bounded size; every two blocks meet in one group,
-    where all overlaps come from a product of incidence matrices.
+    A bucket's nodes are dealt to blocks of bounded size, those outside its largest class and
+    those of it apart.  A block of the former meets every other block, and itself; blocks of the
+    latter don't meet one another.  All overlaps of a group come from a product of incidence
+    matrices.
     """
+    outside = F.col("component") != F.col("largest")
+    apart = apart.withColumn("outside", outside)
+    sizes = apart.groupBy("band", "outside").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("mass") / BLOCK_MASS)).cast("int")
+    sizes = sizes.groupBy("band").agg(
+        F.max(F.when(F.col("outside"), blocks)).alias("outer"), F.coalesce(F.max(F.when(~F.col("outside"), blocks)), F.lit(0)).alias("inner")
+    )
+    dealt = apart.join(sizes.select(F.xxhash64("band").alias("at"), "outer", "inner"), F.xxhash64("band") == F.col("at"))
+    # Blocks of outside nodes are 0, 1, ..., those of the largest class -1, -2, ...
+    hashed = F.xxhash64("key", "band")
+    own = F.when(F.col("outside"), F.pmod(hashed, "outer")).otherwise(-1 - F.pmod(hashed, F.greatest("inner", F.lit(1)))).cast("int")
+    others = F.when(F.col("outside"), F.sequence(-F.col("inner"), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
+    met = dealt.withColumn("own", own).withColumn("other", F.explode(others))
+    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "component")
     bag = _bags(apart.select("key"), nodes, docs)
-    dealt = apart.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "band"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, _U) for x in rows["bag"]]
-        alike = overlaps(sets) >= threshold - 1e-12
+        rows = rows.sort_values("component", kind="stable", ignore_index=True)
+        alike = overlaps([np.frombuffer(x, _U) for x in rows["bag"]]) >= threshold - 1e-12
         if (own := rows["own"].to_numpy()).min() != own.max():
             alike &= own[:, None] != own[None, :]
-        keys = rows["key"].tolist()
-        made = [(keys[a], keys[b]) for a, b in forest(alike)]
+        # Nodes to classes, which lie side by side.
+        first = np.flatnonzero(rows["component"].ne(rows["component"].shift()))
+        between = np.logical_or.reduceat(np.logical_or.reduceat(alike, first, axis=0), first, axis=1)
+        classes = rows["component"].iloc[first].tolist()
+        made = [(classes[a], classes[b]) for a, b in forest(between)]
         return pd.DataFrame([(min(x), max(x)) for x in made], columns=["a", "b"])
 
     return met.join(bag, "key").groupBy("band", "i", "j").applyInPandas(link, "a binary, b binary").distinct()
 
 
-def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], columns: int = 1024) -> np.ndarray:
     """Weighted Jaccard similarity of every two expanded multisets."""
     sizes = np.array([len(s) for s in sets], float)
     row = np.repeat(np.arange(len(sets)), sizes.astype(int))
@@ -344,7 +375,7 @@ def near_classes(
     first = shared.filter((F.col("key") != F.col("hub")) & _fits("n", "hub_n", threshold))
     first = cut(first.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     links = cut(_verified(first, nodes, docs, threshold))
-    joined = components(links)
+    joined = _joined(links)
 
     # What shares a bucket and isn't joined yet; pairs with the hub are settled.
     rest = shared.filter(F.col("key") != F.col("hub"))
@@ -357,12 +388,9 @@ def near_classes(
     )
     several = several.filter("classes > 1").select(F.xxhash64("band").alias("at"), "largest", "size", "mass")
     apart = cut(placed.join(several, F.xxhash64("band") == F.col("at")).drop("at"))
-    links = cut(
-        links.unionByName(_in_small(apart.filter(F.col("size") <= SMALL), first, nodes, docs, threshold)).unionByName(
-            _in_large(apart.filter(F.col("size") > SMALL), nodes, docs, threshold)
-        )
-    )
-    joined = components(links)
+    few, many = apart.filter(F.col("size") <= SMALL), apart.filter(F.col("size") > SMALL)
+    more = _in_small(few, first, nodes, docs, threshold).unionByName(_in_large(many, nodes, docs, threshold))
+    joined = _joined(cut(more), joined)
 
     own = nodes.select("key", "first", "members")
     summed = own.join(joined, F.col("key") == F.col("node")).groupBy("component")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import near_dedup
@@ -137,3 +138,20 @@ def test_components(spark):
     assert found == {i: 0 for i in range(51)} | {100: 100, 101: 100, 102: 100}
     assert components(df.limit(0)).count() == 0
     assert components(df.select("a", F.col("a").alias("b"))).filter("node != component").count() == 0
+
+
+def test_edges_of_a_large_bucket_are_fewer_than_its_classes(spark, monkeypatch):
+    # One family of n texts of two classes and some strays: what comes out grows with the classes, not with n.
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    dice = random.Random(2)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base[:60] + [f"x{i}"] + base[60:]) for i in range(100)] + [" ".join(base[40:] + [f"y{i}"]) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).select(F.col("doc_id").alias("id"), "text")
+    nodes = near_dedup._sign(docs, 20, 4).select("key", "th", "n", "id").cache()
+    apart = nodes.withColumn("band", F.lit(7).cast("long")).withColumn("component", F.first("key").over(Window.partitionBy(F.col("id") >= 100).orderBy("id")))
+    largest = nodes.filter("id = 0").first()["key"]
+    edges = near_dedup._in_large(apart.withColumn("largest", F.lit(largest)), nodes, docs, 0.7).collect()
+    assert len(edges) == 1
+    apart = nodes.withColumn("band", F.lit(7).cast("long")).withColumn("component", F.col("key"))
+    edges = near_dedup._in_large(apart.withColumn("largest", F.lit(largest)), nodes, docs, 0.7)
+    assert components(edges).select("component").distinct().count() == 1
