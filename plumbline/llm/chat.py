@@ -15,8 +15,9 @@ mask covers the escaped texts of assistants: spans of code points, ends exclusiv
 
 Null texts and roles count as empty.  A message whose parent isn't there is a root.  Messages
 in or below a circle of parents have no root and are left out.  Messages that repeat a key
-(tree and id) count once, with the least of their contents.  An empty table gives an empty
-result.
+(tree and id) count once, with the least of their contents.  Roles and texts may be as long as
+a string can be.  Other columns than those named aren't read, whatever they are called.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -121,7 +122,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     # Each block is a turn less its end; the end is found nowhere else.
     blocks = F.split("formatted", f"{END}\n", -1)
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
-    head = r"(?s)^### ((?:[^\\:]|\\.)*): "
+    # Possessive: it never goes back, so a role may be as long as a text.
+    head = r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+): "
     parsed = F.transform(
         F.col("blocks"),
         lambda b: F.struct(

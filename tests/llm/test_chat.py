@@ -59,3 +59,11 @@ def test_branches(spark):
 
 def test_empty(spark):
     assert digests(format_trees(from_turns(spark.createDataFrame([], TURNS)))).count() == 0
+
+
+def test_very_long_roles_and_texts(spark):
+    long = "role: \\ # </turn> " * 60_000
+    rows = [(1, 0, long, "a", "x"), (1, 1, "assistant", long + "é", "x")]
+    (r,) = digests(format_trees(from_turns(spark.createDataFrame(rows, TURNS)))).collect()
+    assert r.n_turns == 2 and r.turns_sha256 == sha(f"{long}\na\nassistant\n{long}é\n")
+    assert (r.loss_chars, r.loss_sha256) == (len(long) + 1, sha(long + "é"))
