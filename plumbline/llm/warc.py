@@ -7,12 +7,18 @@ record (text/plain) with the page's text.  Ids are name-based UUIDs of the respo
 the kind, digests are ``sha1:`` and base32 over the record's block; the same response always
 gives the same records, also after a lost executor.
 
-Text: comments and the content of script, style, noscript, template and head are dropped,
-block elements end lines, entities are resolved, white space is collapsed in lines, empty
-lines go.  Pages are read by a tolerant tokenizer: any string gives a result.
+Text: comments and the content of the elements in HIDDEN are dropped, those in BLOCKS end
+lines, entities are resolved, white space is collapsed in lines, empty lines go.  Pages are
+read by a tolerant tokenizer in one pass: any string gives a result, however long it is and
+whatever isn't closed in it.
 
 Null pages count as empty and give records with empty text; null URIs leave the URI header
-out.  Rows that repeat give records that repeat.  An empty table gives an empty result.
+out.  A null id is replaced by the URI and the page's digest, so different pages have
+different records.  Rows that repeat give records that repeat.  Other columns than those
+named aren't read.  An empty table gives an empty result.
+
+``read_warc`` gives a row for whatever is in a file, with a status: ``whole``, ``cut`` (the
+block ends early), ``cut header``, ``bad length`` or ``no record`` (bytes between records).
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -40,7 +47,11 @@ BLOCKS = (
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul"
 ).split()
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# Attribute values in quotes may hold what closes a tag.  Possessive: no character is read twice.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)""", re.S
+)
+_HEAD_END = re.compile(r"</head\s*>|(?=<body[\s>])", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
 SCHEMA = (
     "source_id string, kind string, record_id string, refers_to string, concurrent_to string, "
@@ -50,16 +61,16 @@ SCHEMA = (
 
 def page_text(html: str) -> str:
     """The visible text of a page."""
-    out, at = [], 0
+    out, at, endless_head = [], 0, False
     while tag := _TAG.search(html, at):
         out.append(unescape(html[at : tag.start()]))
         at = tag.end()
         name = (tag[2] or "").lower()
         if name in HIDDEN and not tag[1] and not tag[3].endswith("/"):
             if name == "head":
-                # A head that isn't closed ends where the body begins.
-                end = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(html, at)
-                at = end.end() if end else at
+                # A head that isn't closed ends where the body begins; one look tells for all that follow.
+                end = None if endless_head else _HEAD_END.search(html, at)
+                endless_head, at = end is None, end.end() if end else at
             else:
                 end = _CLOSE[name].search(html, at)
                 at = end.end() if end else len(html)
@@ -90,10 +101,13 @@ def record(headers: list[tuple[str, str]], block: str) -> str:
     return "\r\n".join(lines) + END + block
 
 
-def derivatives(source_id: str, uri: str | None, date: str | None, headers: str | None, body: str) -> list[dict]:
+def derivatives(source_id: str | None, uri: str | None, date: str | None, headers: str | None, body: str) -> list[dict]:
     """The metadata and the conversion record of a response; headers are its HTTP header lines."""
     source, text = body.encode(), page_text(body)
-    response = source_id if source_id.startswith("<urn:") else record_id(source_id, "response")
+    if source_id is None:
+        response = record_id("no id", uri or "", digest(source), "response")
+    else:
+        response = source_id if source_id.startswith("<urn:") else record_id(source_id, "response")
     ids = {kind: record_id(response, kind) for kind in ("metadata", "conversion")}
     facts = [("source-digest", digest(source)), ("source-length", str(len(source))), ("conversion", ids["conversion"]), ("conversion-digest", digest(text.encode()))]
     facts += [(f"source-{name.strip().lower()}", field(value)) for name, _, value in (x.partition(":") for x in (headers or "").splitlines()) if value]
@@ -123,7 +137,7 @@ def build(responses: DataFrame, id_col: str = "page_id", uri_col: str = "url", b
     """Two rows for each response: its metadata and its conversion record."""
     extra = {"date": date_col, "headers": headers_col}
     read = responses.select(
-        F.coalesce(col(id_col).cast("string"), F.lit("")).alias("source_id"),
+        col(id_col).cast("string").alias("source_id"),
         col(uri_col).alias("uri"),
         F.coalesce(col(body_col), F.lit("")).alias("body"),
         *[(col(name) if name else F.lit(None)).cast("string").alias(k) for k, name in extra.items()],
@@ -144,39 +158,69 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select("record").write.option("lineSep", END).text(path)
 
 
-_HEAD = r"^WARC/1\.[01]\r\n"
-
-
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, headers (map, names in lower case) and block of each record of uncompressed or gzipped WARC files.
+    """file, place (of the record in the file, before compression), status, headers (map, names in lower case) and block.
 
-    Blocks are read as UTF-8.  A file is parsed by one task; it is cut by the records' lengths.
+    For uncompressed or gzipped WARC files, one file to a task.  Blocks are read as UTF-8.
     """
 
+    @released
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
-                rows = [(name, head, block.decode("utf-8", "replace")) for head, block in records_of(data)]
-                yield pd.DataFrame(rows, columns=["file", "headers", "block"])
+                data = unzipped(content) if content[:2] == b"\x1f\x8b" else bytes(content)
+                rows: list[tuple] = []
+                held = 0
+                for place, status, head, block in records_of(data):
+                    rows.append((name, place, status, head, block.decode("utf-8", "replace")))
+                    held += len(block)
+                    if held > 1 << 24:
+                        yield pd.DataFrame(rows, columns=_READ)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=_READ)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "file string, headers map<string, string>, block string")
+    return files.mapInPandas(parse, "file string, place long, status string, headers map<string, string>, block string")
+
 
+_READ = ["file", "place", "status", "headers", "block"]
 
-def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+
+def unzipped(content: bytes, step: int = 1 << 16) -> bytes:
+    """What gzip members hold; a member that is cut or broken gives what can be read of it, and ends the rest."""
+    out, at, reader = [], 0, zlib.decompressobj(31)
+    while at < len(content):
+        piece = content[at : at + step]
+        try:
+            out.append(reader.decompress(piece))
+        except zlib.error:
+            break
+        at += len(piece) - len(reader.unused_data)
+        if reader.eof:
+            reader = zlib.decompressobj(31)
+    return b"".join(out)
+
+
+def records_of(data: bytes) -> Iterator[tuple[int, str, dict[str, str], bytes]]:
+    """place, status, headers and block of all that is in the data."""
     at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    while at < len(data):
+        start = data.find(b"WARC/", at)
+        between = data[at : start if start >= 0 else len(data)]
+        if between.strip(b"\r\n"):
+            yield at, "no record", {}, between
+        if start < 0:
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        end = data.find(b"\r\n\r\n", start)
+        lines = data[start : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
         head = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
-        length = head.get("content-length", "")
-        if not length.isdigit():
-            at += 7
+        if end < 0:
+            yield start, "cut header", head, b""
+            return
+        at, length = end + 4, head.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield start, "bad length", head, b""
             continue
-        yield head, data[end + 4 : end + 4 + int(length)]
-        at = end + 4 + int(length)
+        block = data[at : at + int(length)]
+        yield start, "whole" if len(block) == int(length) else "cut", head, block
+        at += len(block)
