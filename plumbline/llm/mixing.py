@@ -17,9 +17,13 @@ So a source misses its target by less than one document.  Draws are hashes of th
 documents that meet: reruns agree.  Groups hold about ``fan`` documents however large the
 source is, and only ids and sizes move, never texts.
 
-Null texts and texts of white space have size 0 and are taken 0 times.  Rows alike in id,
-source and text are settled together and take the same.  An empty table gives an empty
-result.
+Rows alike in id, source and text, ``rows`` of them, need no pairing among themselves: of the
+``rows`` * fraction more that they are to be taken, the whole part is sure and one document with
+the rest goes through the tree.  So ``ups`` of the rows are taken once more than the others.
+
+Null texts and texts of white space have size 0 and are taken 0 times.  Columns of docs other
+than id, source and text don't matter and may have any names.  Texts may be of any length; only
+their number of words moves.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -143,10 +147,11 @@ def mix(
     fan: int = FAN,
     seed: int = 0,
 ) -> DataFrame:
-    """What the mix takes: id, source, size, content, rows, source_size, target and copies.
+    """What the mix takes: id, source, size, content, rows, source_size, target, base and ups.
 
     One row for each group of rows alike in id, source and text (``content`` is a hash of
-    the text, ``rows`` their number); each of these rows is to be taken ``copies`` times.
+    the text, ``rows`` their number); each of these rows is to be taken ``base`` times, and
+    ``ups`` of them once more.
     """
     read = docs.select(
         col(id_col).alias("id"),
@@ -167,37 +172,56 @@ def mix(
     shares = cut(_targets(sources, share, cap).select(F.col("source").alias("name"), "source_size", "target", "units"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = units.join(shares, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    known = known.withColumn("base", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
-    open_ = (F.col("size") > 0) & (F.col("p") > 0)
-    key = F.struct("id", "size", "content", "rows", "source", "source_size", "target", "base").alias("key")
+    known = known.withColumn("base", F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int"))
+    more = F.when(F.col("size") > 0, F.col("rows") * (rate - F.floor(rate))).otherwise(0.0)
+    known = known.withColumn("sure", F.least(F.floor(more), "rows")).withColumn("p", more - F.floor(more))
+    open_ = F.col("p") > 0
+    kept = ["id", "size", "content", "rows", "source", "source_size", "target", "base", "sure"]
     groups = F.ceil(F.col("units") / fan).cast("long")
     fractional = known.filter(open_).select(
         "source",
         groups.alias("groups"),
         F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), "id", "content"), groups).alias("group"),
-        key,
-        (F.col("size") * F.col("rows")).cast("double").alias("mass"),
+        F.struct(*kept).alias("key"),
+        F.col("size").cast("double").alias("mass"),
         "p",
     )
     key_type = fractional.schema["key"].dataType.simpleString()
     settled = _rounded(fractional, key_type, fan, seed).select("key.*", "up")
-    whole = known.filter(~open_).select("id", "size", "content", "rows", "source", "source_size", "target", "base", F.lit(0).alias("up"))
-    both = whole.unionByName(settled)
-    return both.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.col("up")).otherwise(0)).drop("base", "up")
+    both = known.filter(~open_).select(*kept, F.lit(0).alias("up")).unionByName(settled)
+    return both.withColumn("ups", F.col("sure") + F.col("up")).drop("sure", "up")
+
+
+#: Parts that rows alike in id, source and text are dealt to, to be numbered.
+PARTS = 256
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
     mine = docs.columns
-    i, s, c = fresh(docs, "i", "s", "c")
-    taken = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0")
-    taken = taken.select(F.col("id").alias(i), F.col("source").alias(s), F.col("content").alias(c), "copies")
-    (copies,) = fresh(docs.withColumns({i: F.lit(0), s: F.lit(0), c: F.lit(0)}), "copies")
-    taken = taken.withColumnRenamed("copies", copies)
+    i, s, c, base, ups, rows = names = fresh(docs, "i", "s", "c", "base", "ups", "rows")
+    taken = mix(docs, id_col, text_col, source_col, **options).filter("base > 0 or ups > 0")
+    taken = taken.select(*[F.col(x).alias(y) for x, y in zip(("id", "source", "content", "base", "ups", "rows"), names)])
     same = (
         col(id_col).eqNullSafe(F.col(i))
         & col(source_col).cast("string").eqNullSafe(F.col(s))
         & (F.xxhash64(col(text_col)) == F.col(c))
     )
-    repeated = docs.join(taken, same).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return repeated.select(*[col(x) for x in mine])
+    met = docs.join(taken, same)
+    alike = (F.col(ups) == 0) | (F.col(ups) == F.col(rows))
+    copies = F.col(base) + (F.col(ups) > 0).cast("int")
+    out = met.filter(alike).withColumn(rows, copies)
+    # Of rows that are alike some are taken once more: they are numbered, in parts, so that no task numbers a large group.
+    part, place, before = fresh(met, "part", "place", "before")
+    unlike = met.filter(~alike).withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)))
+    unlike = cut(unlike)
+    key = [i, s, c]
+    earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = unlike.groupBy(*key, part).count().select(*key, part, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before))
+    at = unlike.withColumn(place, F.row_number().over(Window.partitionBy(*key, part).orderBy(F.lit(0))))
+    i2, s2, c2, part2 = fresh(at.withColumn(before, F.lit(0)), "i2", "s2", "c2", "part2")
+    sizes = sizes.toDF(i2, s2, c2, part2, before)
+    match = F.col(i).eqNullSafe(F.col(i2)) & F.col(s).eqNullSafe(F.col(s2)) & (F.col(c) == F.col(c2)) & (F.col(part) == F.col(part2))
+    numbered = at.join(sizes, match).withColumn(rows, F.col(base) + (F.col(before) + F.col(place) <= F.col(ups)).cast("int"))
+    every = out.select(*[col(x) for x in mine], rows).unionByName(numbered.select(*[col(x) for x in mine], rows)).filter(F.col(rows) > 0)
+    return every.withColumn(rows, F.explode(F.sequence(F.lit(1).cast("long"), F.col(rows).cast("long")))).select(*[col(x) for x in mine])

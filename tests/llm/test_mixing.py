@@ -1,8 +1,10 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm.mixing import mix, ranked, take
+from plumbline.llm.registry import QUERIES
 
 SCHEMA = "doc_id long, text string, source string, copies string"
 
@@ -45,16 +47,16 @@ def test_targets_and_words(spark):
     for r in got:
         assert r["source_size"] == sizes[r["source"]]
         assert abs(r["target"] - targets[r["source"]]) < 1e-6 * (1 + targets[r["source"]])
-        assert 0 <= r["copies"] <= 2
-        taken[r["source"]] += r["copies"] * r["size"] * r["rows"]
+        assert 0 <= r["base"] and 0 <= r["ups"] <= r["rows"] and r["base"] + (r["ups"] > 0) <= 2
+        taken[r["source"]] += (r["base"] * r["rows"] + r["ups"]) * r["size"]
     for source, words in taken.items():
         assert abs(words - targets[source]) <= 2 * 97, (source, words, targets[source])
 
 
 def test_reruns_agree_however_rows_lie(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
-    first = sorted(map(tuple, mix(docs).select("id", "content", "copies").collect()), key=str)
-    again = sorted(map(tuple, mix(docs.repartition(7, F.rand(3))).select("id", "content", "copies").collect()), key=str)
+    first = sorted(map(tuple, mix(docs).select("id", "content", "base", "ups").collect()), key=str)
+    again = sorted(map(tuple, mix(docs.repartition(7, F.rand(3))).select("id", "content", "base", "ups").collect()), key=str)
     assert first == again
 
 
@@ -63,7 +65,7 @@ def test_expectations_stay(spark):
     means = [0.0] * 60
     for seed in range(12):
         for r in mix(docs, fan=4, seed=seed).collect():
-            means[r["id"]] += r["copies"] / 12
+            means[r["id"]] += (r["base"] + r["ups"]) / 12
     rate = {s: next(r["target"] / r["source_size"] for r in mix(docs).collect() if r["source"] == s) for s in "ab"}
     assert abs(sum(means[:40]) / 40 - rate["a"]) < 0.12
     assert max(abs(m - rate["a" if i < 40 else "b"]) for i, m in enumerate(means)) < 0.75
@@ -71,15 +73,43 @@ def test_expectations_stay(spark):
 
 def test_take_repeats_rows(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
-    mixed = {(r.id, r.content): r.copies for r in mix(docs).collect()}
     wanted = {}
-    for r in docs.withColumn("h", F.xxhash64("text")).collect():
-        wanted[r.doc_id] = wanted.get(r.doc_id, 0) + mixed[(r.doc_id, r.h)]
+    for r in mix(docs).collect():
+        wanted[r.id] = wanted.get(r.id, 0) + r.base * r.rows + r.ups
     got = {r.doc_id: r["count"] for r in take(docs).groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in wanted.items() if v}
     assert take(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("n, words", [(10, 100), (1000, 3), (1, 7)])
+def test_a_source_of_equal_rows(spark, n, words):
+    # The others' excess leaves this source a share between once and twice its size.
+    text = "w " * words
+    data = [(1, text, "a", "x")] * n + [(i, text, "b", "x") for i in range(2, 2 + 2 * n)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    target = brute_targets({"a": n * words, "b": 2 * n * words})
+    taken = {r.source: r.words for r in take(docs).groupBy("source").agg((F.count(F.lit(1)) * words).alias("words")).collect()}
+    for source in "ab":
+        assert abs(taken[source] - target[source]) <= words
+    each = take(docs.filter("source = 'a'").withColumn("n", F.monotonically_increasing_id())).groupBy("n").count().collect()
+    assert max(r["count"] for r in each) - min(r["count"] for r in each) <= 1 and max(r["count"] for r in each) <= 2
+
+
+def test_the_registered_query(spark, tmp_path):
+    docs = spark.createDataFrame(rows() + [(7, "a b", "s1", "x")] * 9, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.asDict() for r in QUERIES["op8_mixing"](spark, str(tmp_path)).collect()]
+    assert sorted(r["doc_id"] for r in got) == sorted(r.doc_id for r in docs.collect())
+    by_source = {}
+    for r in got:
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        one = by_source.setdefault(r["source"], [0, 0, r["target"]])
+        one[0] += r["taken"]
+        one[1] += r["size"]
+    targets = brute_targets({s: x[1] for s, x in by_source.items()})
+    assert all(abs(x[0] - targets[s]) <= 97 and abs(x[2] - targets[s]) < 1e-6 * (1 + targets[s]) for s, x in by_source.items())
+
+
 def test_ranks(spark):
     names = ["b", None, "é", "B", "", "a", "z", "\U0001f600", "ab"]
     df = spark.createDataFrame([(x,) for x in names], "source string")
@@ -90,4 +120,4 @@ def test_ranks(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mix(docs).count() == 0 and take(docs).count() == 0
-    assert mix(spark.createDataFrame([(1, None, None, "x")], SCHEMA)).first().copies == 0
+    assert mix(spark.createDataFrame([(1, None, None, "x")], SCHEMA)).first()[-2:] == (0, 0)
