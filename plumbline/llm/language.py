@@ -2,10 +2,12 @@
 
 For each language a raw-content zstandard dictionary is made of labelled text.  A text is
 normalised (lower case, what isn't a letter becomes a space), cut into blocks, and every
-block is compressed with each dictionary; the language with the smallest sum is predicted
-(ties: the smaller name).  All blocks of a text count, however long it is.  The margin is
-what the runner-up needs more, as a share of its size; a text whose margin is below
-``least_margin`` is rejected, and so is one without any letter.
+block is compressed with each dictionary, the first one behind the dictionary's last bytes,
+whose own size is taken off: alone a short text would be stored as it is, which tells nothing.
+The language with the smallest sum is predicted (ties: the smaller name).  All blocks of a text
+count, however long or short it is.  The margin is what the runner-up needs more, as a share of
+its size; a text whose margin is below ``least_margin`` is rejected, and so is one without any
+letter.
 
 Every label is learned, and what is learned is bounded: of each label at most ``samples``
 documents, those with a letter first and then by a hash of the id, with ``per_document``
@@ -15,6 +17,7 @@ what 64 would get, so each has less.  Time grows with the labels, as every dicti
 Null texts and texts without a letter get ``und`` with score 0; so does everything if there
 is nothing to learn from.  The score is 1 / (1 + 2 ** -n), n the bytes that the runner-up
 needs more.  Rows that repeat are predicted alike; an empty table gives an empty result.
+Columns of docs keep their names; the result's name gets underscores where it is taken.
 """
 
 from __future__ import annotations
@@ -31,10 +34,8 @@ from plumbline.llm.common import col, fresh, released
 
 #: FULL labels get SAMPLES, PER_DOCUMENT and DICTIONARY whole; more labels share them.
 FULL, SAMPLES, PER_DOCUMENT, DICTIONARY = 64, 256, 1000, 1 << 16
-BLOCK, LEVEL = 1024, 6
-#: Texts of fewer bytes are compressed with more effort, behind so many bytes of the dictionary itself:
-#: alone they would be stored as they are, which tells nothing.
-SHORT, SHORT_LEVEL, PRIMER = 256, 12, 256
+#: Bytes of a block, zstandard's level, and bytes of the dictionary that a text stands behind.
+BLOCK, LEVEL, PRIMER = 2048, 12, 256
 LEAST_MARGIN = 0.005
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -77,30 +78,28 @@ def learn(
     return {lang: data for lang, data in found.items() if data.strip()}
 
 
-def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=level)
+    data.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
-        self.compressors = {lang: _compressor(dictionaries[lang], LEVEL) for lang in sorted(dictionaries)}
-        self.short = {}
+        self.known = []
         for lang in sorted(dictionaries):
-            compressor, primer = _compressor(dictionaries[lang], SHORT_LEVEL), dictionaries[lang][-PRIMER:]
-            self.short[lang] = (compressor, primer, len(compressor.compress(primer)))
+            compressor, primer = _compressor(dictionaries[lang]), dictionaries[lang][-PRIMER:]
+            self.known.append((lang, compressor.compress, primer, len(compressor.compress(primer))))
 
     def sizes(self, text: str) -> dict[str, int]:
         data = normalised(text).encode()
-        if len(data) < SHORT:
-            return {lang: max(0, len(c.compress(primer + data)) - own) for lang, (c, primer, own) in self.short.items()}
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return {lang: sum(len(c.compress(b)) for b in blocks) for lang, c in self.compressors.items()}
+        blocks = [data[i : i + BLOCK] for i in range(BLOCK, len(data), BLOCK)]
+        first = {lang: max(0, len(compress(primer + data[:BLOCK])) - own) for lang, compress, primer, own in self.known}
+        return {lang: first[lang] + sum(len(compress(b)) for b in blocks) for lang, compress, _, _ in self.known}
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin."""
-        if not self.compressors or not text or not any(map(str.isalpha, text)):
+        if not self.known or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
         ranked = sorted((n, lang) for lang, n in self.sizes(text).items())
         best, lang = ranked[0]
