@@ -13,11 +13,22 @@ test dropped without another try:
 * card ``[0-9]([\\x20-]?[0-9])+``, 13 to 19 digits that pass the Luhn test
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
-Added kinds: url (``http``, ``https`` or ``ftp``, then ``://`` and what is no white space,
-quote or angle bracket, less closing punctuation) and account (after one of CUES and ``:``,
-``=`` or white space, a run of at least 6 letters, digits and ``-_`` with a digit in it).
-
-Spans count code points, ends exclusive.  Null texts count as empty and have no spans.
+Added kinds:
+
+* url: ``http``, ``https`` or ``ftp``, then ``://`` and what is no white space, quote or angle
+  bracket, less closing punctuation
+* account: after one of CUES and one to four of ``:="'`` and white space a run of at least 6
+  letters, digits and ``-_`` with a digit in it
+* key: after one of KEYS, which begins no longer run, as many of its characters as it takes
+* iban: two capitals, two digits and 11 to 30 capitals and digits, in one run or in fours parted
+  by spaces, not within a longer run, with the checksum modulo 97
+* ssn: digits in threes, twos and fours parted by hyphens, not within a longer chain, that may
+  have been given out
+
+Cues count in upper and lower case alike.  Spans count code points, ends exclusive; those of one
+kind don't overlap.  Null texts count as empty and have no spans.  Rows that repeat give rows that
+repeat; other columns than id and text aren't read; an empty table gives an empty result.  A text
+may be as long as a string can be: it is read a few times, whatever is in it.
 """
 
 from __future__ import annotations
@@ -33,13 +44,17 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import col, released
 
 Span = tuple[int, int]
-BASE, ADDED = ("email", "ip", "card", "phone"), ("url", "account")
+BASE, ADDED = ("email", "ip", "card", "phone"), ("url", "account", "key", "iban", "ssn")
 # Words that announce an identifier.
 CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "iban", "account", "ssn", "passport")
 SCHEMES = ("http", "https", "ftp")
+# How the keys of public services begin, and how many letters, digits and -_ follow at least (fixed values).
+KEYS = {"AKIA": 16, "ASIA": 16, "AIza": 35, "ghp_": 36, "gho_": 36, "ghs_": 36, "github_pat_": 22, "glpat-": 20, "sk-": 20, "sk_live_": 16, "xoxb-": 20, "xoxp-": 20, "npm_": 36, "eyJ": 30}
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 LABEL = LETTERS | DIGITS | {"-"}
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LOCAL = LABEL | frozenset("._%+")
 DIALLED = DIGITS | frozenset(" ().-")
 ACCOUNT = LABEL | {"_"}
@@ -51,9 +66,8 @@ def automaton() -> ahocorasick.Automaton:
     for kind, words in (("@", ["@"]), (":", ["://"]), ("0", sorted(DIGITS)), ("+", ["+"])):
         for word in words:
             found.add_word(word, (kind, len(word)))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+    for word in (*CUES, *map(str.lower, KEYS)):
+        found.add_word(word, ("key" if word not in CUES else "cue", len(word)))
     found.make_automaton()
     return found
 
@@ -158,12 +172,14 @@ def urls(text: str, anchors: list[int]) -> list[Span]:
             start -= 1
         scheme = text[start:at].lower()
         known = next((x for x in sorted(SCHEMES, key=len, reverse=True) if scheme.endswith(x)), None)
+        if not known or at < last:
+            continue
         end = at + 3
         while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
             end += 1
         while end > at + 3 and text[end - 1] in ".,;:!?)]}":
             end -= 1
-        if known and end > at + 3 and at >= last:
+        if end > at + 3:
             found.append((at - len(known), end))
             last = end
     return found
@@ -176,16 +192,72 @@ def accounts(text: str, cues: list[int]) -> list[Span]:
         start = at
         while start < min(at + 4, len(text)) and (text[start] in ":=\"'" or text[start].isspace()):
             start += 1
+        if start == at or start < last:
+            continue
         end = _run(text, start, ACCOUNT)
-        if start > at and start >= last and end - start >= 6 and not DIGITS.isdisjoint(text[start:end]):
+        if end - start >= 6 and not DIGITS.isdisjoint(text[start:end]):
+            found.append((start, end))
+            last = end
+    return found
+
+
+def keys(text: str, starts: list[int]) -> list[Span]:
+    """Starts are the places of what may be a key's beginning, in any case."""
+    found, last = [], 0
+    for at in sorted(starts):
+        if at < last or at and text[at - 1] in ACCOUNT:
+            continue
+        for begin in sorted(KEYS, key=len, reverse=True):
+            if text.startswith(begin, at):
+                end = _run(text, at + len(begin), ACCOUNT)
+                if end - at - len(begin) >= KEYS[begin]:
+                    found.append((at, end))
+                    last = end
+                break
+    return found
+
+
+def iban(text: str) -> bool:
+    """The checksum: letters count from 10 to 35, and the number leaves 1 modulo 97."""
+    moved = text[4:] + text[:4]
+    return int("".join(str(int(x, 36)) for x in moved)) % 97 == 1
+
+
+def ibans(text: str, runs: list[Span]) -> list[Span]:
+    found, last, known = [], 0, CAPITALS | DIGITS
+    for at, _ in runs:
+        start = at - 2
+        if start < last or not set(text[start:at]) <= CAPITALS or start and text[start - 1] in LABEL:
+            continue
+        end = _run(text, at, known)
+        if end - start == 4:
+            # Fours, and a last part of one to four.
+            while end - start < 50 and text[end : end + 1] == " " and (more := _run(text, end + 1, known) - end - 1):
+                end += 1 + min(more, 4)
+                if more != 4:
+                    break
+        packed = text[start:end].replace(" ", "")
+        whole = text[end : end + 1] not in LABEL or end == len(text)
+        if whole and text[at + 1 : at + 2] in DIGITS and 15 <= len(packed) <= 34 and iban(packed):
             found.append((start, end))
             last = end
     return found
 
 
+def ssns(text: str, runs: list[Span]) -> list[Span]:
+    found = []
+    for chain in chains(text, runs, "-"):
+        a, b = chain[0][0], chain[-1][1]
+        parts = [text[x:y] for x, y in chain]
+        given = [len(x) for x in parts] == [3, 2, 4] and parts[0] not in ("000", "666") and parts[0][0] != "9" and parts[1] != "00" and parts[2] != "0000"
+        if given and not (a and text[a - 1] in ACCOUNT) and (b == len(text) or text[b] not in ACCOUNT):
+            found.append((a, b))
+    return found
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[Span]]:
-    at: dict[str, list[int]] = {"@": [], ":": [], "0": [], "+": [], "cue": []}
-    for end, (kind, n) in anchors.iter(text):
+    at: dict[str, list[int]] = {"@": [], ":": [], "0": [], "+": [], "cue": [], "key": []}
+    for end, (kind, n) in anchors.iter(text.translate(_LOWER)):
         at[kind].append(end + 1 if kind == "cue" else end + 1 - n)
     runs = digit_runs(at["0"])
     return {
@@ -195,6 +267,9 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[Span]]:
         "phone": phones(text, at["+"]),
         "url": urls(text, at[":"]),
         "account": accounts(text, at["cue"]),
+        "key": keys(text, at["key"]),
+        "iban": ibans(text, runs),
+        "ssn": ssns(text, runs),
     }
 
 
