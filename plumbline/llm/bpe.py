@@ -2,18 +2,21 @@
 
 A rolling hash over the bytes of a text marks chunk ends, so a passage that several
 documents share falls into the same chunks wherever it stands.  A chunk's body reaches from
-its first to its last safe place: a space between two visible ASCII characters, where the
-tokenizer's words always part whatever stands around.  Bodies are encoded once for each
-task (a cache of bounded size).  What lies between the last safe place of a chunk and the
-first of the next, the join, is encoded anew; where a chunk has no safe place the join
-widens over it until it meets one or the text's end.  Body and join ids in order are then
-exactly the ids of the whole text.
+its first to its last sure place: one where the tokenizer's words part whatever stands
+around, such as the white space after a word.  Bodies are encoded once for each worker, in
+a cache of bounded size that outlives its tasks.  What lies between the last sure place of a
+chunk and the first of the next, the join, is encoded anew; where a chunk has no sure place
+the join widens over it until it meets one or the text's end.  At a sure place what was
+encoded on either side agrees exactly with the whole text's encoding, so body and join ids in
+order are the ids of the whole text.
 
 The tokenizer is a byte-level BPE in the JSON format of the ``tokenizers`` library, whose
 path is a parameter; it is read once, on the driver.  Words are merged by rank with
 ``tiktoken``, which gives the same ids.  Added tokens inside texts are encoded as such;
 truncation and padding don't apply.  Ids are packed as little-endian unsigned 32-bit
-integers.  Null texts count as empty and have no ids.
+integers.  Null texts count as empty and have no ids; texts may be of any length.  Rows that
+repeat give rows that repeat; an empty table gives an empty result.  Columns of docs named
+``ids`` or ``decoded`` are replaced.
 """
 
 from __future__ import annotations
@@ -62,8 +65,8 @@ class Bpe:
         if spec["normalizer"] or not plain or model["type"] != "BPE" or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE without a normalizer is read")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]) or any(" " in t for t in self.added):
-            raise ValueError("added tokens must be plain and hold no space")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]) or any(c.isspace() for t in self.added for c in t):
+            raise ValueError("added tokens must be plain and hold no white space")
         byte = _byte_of()
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if t not in self.added}
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
@@ -156,10 +159,16 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((rolled >> np.uint32(12)) % np.uint32(CHUNK) == 0) + 1
 
 
+# Last bytes of white space that takes several bytes in UTF-8 (fixed values).
+_WIDE = np.array([0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F], np.uint8)
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes that end a word for sure: visible ASCII, and bytes from 0x80 on that end no white space.
+_SOLID = (np.arange(256) > 32) & (np.arange(256) != 127) & ~np.isin(np.arange(256), _WIDE)
+
+
 def safe_places(data: np.ndarray) -> np.ndarray:
-    """Places of spaces between two visible ASCII characters."""
-    visible = (data > 0x20) & (data < 0x7F)
-    return np.flatnonzero((data[1:-1] == 0x20) & visible[:-2] & visible[2:]) + 1
+    """Places of ASCII white space behind a character that is none: a word ends there, whatever follows."""
+    return np.flatnonzero(_WHITE[data[1:]] & _SOLID[data[:-1]]) + 1
 
 
 @lru_cache(2)
@@ -177,7 +186,6 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         for texts in batches:
             packed = bpe.encode([(t or "").encode() for t in texts])
             yield pd.DataFrame({"ids": packed, "decoded": bpe.decode(packed)})
-        bpe.forget()
 
     @F.pandas_udf("ids binary, decoded string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ def test_any_text(texts):
 @pytest.mark.parametrize("chunk", [2, 8, 64])
 def test_small_chunks(monkeypatch, chunk):
     monkeypatch.setattr(bpe, "CHUNK", chunk)
-    parts = ["foo bar", "<|endoftext|>", "  ", " x", "don't", "\n\n ", "é à", "12 34", "a" * 50, " ", " ", "!?", "日本 語"]
+    parts = ["foo bar", "<|endoftext|>", "  ", " x", "don't", "\n\n ", "é à", "12 34", "a" * 50, " ", " ", "!?", "日本 語", "é\u00a0 x", "\u3000\t a", "語\n語", "\u2003\n", "x\x1c \x1f\n", "\x7f \r\n", "'s\t", "\u0085  "]
     texts = ["".join(parts[(i * j * 7 + j) % len(parts)] for j in range(1 + i * 5 % 70)) for i in range(200)]
     assert got(texts) == [wanted(t) for t in texts]
     assert OWN.decode(OWN.encode([t.encode() for t in texts])) == [LIBRARY.decode(wanted(t), skip_special_tokens=False) for t in texts]
@@ -43,6 +43,22 @@ def test_long_texts(monkeypatch):
     assert got(texts) == [wanted(t) for t in texts]
 
 
+def test_text_without_spaces_is_cut_at_line_ends():
+    text = "".join(chr(0x4E00 + i * i * i % 9973) + "\n" * (i % 40 == 39) for i in range(20_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert len(bpe.safe_places(data)) == 500 and len(bpe.chunk_ends(data)) > 5
+    assert got([text]) == [wanted(text)]
+
+
+def test_chunks_are_encoded_once_for_a_worker():
+    OWN.forget()
+    passage = " ".join(f"word{i}" for i in range(3000))
+    got(["a start. " + passage])
+    known = len(OWN.cache)
+    got(["another beginning, longer than that. " + passage + " and an end"])
+    assert known > 10 and len(OWN.cache) - known < 8
+
+
 def test_cache_is_bounded_and_reused(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 10_000)
     texts = [f"text number {i} and some more words of it" for i in range(3000)]
