@@ -7,13 +7,11 @@ stage works on all rows that its predecessor kept.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import digests, encode
-from plumbline.llm.common import checkpoint_folder, col
+from plumbline.llm.common import Scratch, col
 from plumbline.llm.exact_dedup import drop_copies
 from plumbline.llm.language import identify, learn_from
 from plumbline.llm.mixing import take
@@ -52,10 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, over documents; each result goes through the shared folder."""
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other, over documents; each result goes through the shared folder, until the next is written."""
+    room = Scratch(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = room.put(name, stage(spark, docs, sf_dir))
+        if before:
+            room.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
