@@ -132,24 +132,52 @@ DBT = {
 }
 
 
-def from_dbt(manifest: str | dict) -> tuple[list[dict], list[dict]]:
-    """Sources and metrics of a dbt manifest (version 10 or later)."""
+def _dbt_percentile(measure: dict) -> tuple[str, str]:
+    """A percentile measure's spelling: interpolated, or a value that is there where it says so."""
+    told = measure.get("agg_params") or {}
+    kind = "percentile_disc" if told.get("use_discrete_percentile") else "percentile_cont"
+    return f"{kind}({float(told.get('percentile') or 0.5)}) within group (order by {{}})", "non_additive"
+
+
+def _dbt_joins(models: list[dict]) -> dict[str, list[dict]]:
+    """Joins by model: a foreign entity leads to the one model that has it as its own key."""
+    owners: dict[str, list[tuple[str, str]]] = {}
+    for model in models:
+        for e in model.get("entities") or ():
+            if e.get("type") in ("primary", "natural", "unique"):
+                owners.setdefault(e["name"], []).append((model["name"], e.get("expr") or e["name"]))
+    out: dict[str, list[dict]] = {}
+    for model in models:
+        for e in model.get("entities") or ():
+            ends = [x for x in owners.get(e["name"], ()) if x[0] != model["name"]]
+            if e.get("type") == "foreign" and len(ends) == 1:
+                on = f"{model['name']}.{e.get('expr') or e['name']} = {ends[0][0]}.{ends[0][1]}"
+                out.setdefault(model["name"], []).append({"to": ends[0][0], "on": on, "relationship": "many_to_one"})
+    return out
+
+
+def from_dbt(manifest: str | dict, warnings: list[str] | None = None) -> tuple[list[dict], list[dict]]:
+    """Sources, with joins along their entities, and metrics of a dbt manifest (version 10 or later); warnings gets what is left out."""
+    warnings = [] if warnings is None else warnings
     given = json.loads(manifest) if isinstance(manifest, str) else manifest
     version = re.search(r"/v(\d+)", str((given.get("metadata") or {}).get("dbt_schema_version", "")))
     if not version or int(version[1]) < 10:
         raise Refusal("validation_failed", "a manifest of version 10 or later is needed")
     sources, metrics = [], []
+    joined = _dbt_joins(list((given.get("semantic_models") or {}).values()))
     for model in (given.get("semantic_models") or {}).values():
         grain = [e.get("expr") or e["name"] for e in model.get("entities") or () if e.get("type") in ("primary", "natural")]
         made = []
         for m in model.get("measures") or ():
-            spelled, adds = DBT.get(m["agg"], (None, None))
+            agg = str(m.get("agg")).strip().lower()
+            spelled, adds = _dbt_percentile(m) if agg == "percentile" else DBT.get(agg, (None, None))
             if not spelled:
+                warnings.append(f"{model['name']}.{m['name']}: the aggregation {m.get('agg')!r} isn't known; the measure is left out")
                 continue
             over = m.get("non_additive_dimension") or {}
             made.append({"name": m["name"], "expr": spelled.format(m.get("expr") or m["name"]), "additivity": "semi_additive" if over else adds, **({"semi_additive_over": [over["name"]]} if over else {})})
         dims = [{"name": d["name"], "column": d.get("expr") or d["name"], **({"granularity": d["type_params"]["time_granularity"]} if d.get("type") == "time" and (d.get("type_params") or {}).get("time_granularity") else {})} for d in model.get("dimensions") or ()]
-        sources.append({"name": model["name"], "table": (model.get("node_relation") or {}).get("alias") or model["name"], "grain": grain, "measures": made, "dimensions": dims, "meta": {"provenance": "inferred"}})
+        sources.append({"name": model["name"], "table": (model.get("node_relation") or {}).get("alias") or model["name"], "grain": grain, "measures": made, "dimensions": dims, "joins": joined.get(model["name"], []), "meta": {"provenance": "inferred"}})
     owner = {m["name"]: s["name"] for s in sources for m in s["measures"]}
     for metric in (given.get("metrics") or {}).values():
         told = metric.get("type_params") or {}
@@ -158,6 +186,8 @@ def from_dbt(manifest: str | dict) -> tuple[list[dict], list[dict]]:
             metrics.append({"metric": metric["name"], "canonical": {"source": owner[name(told["measure"])], "measure": name(told["measure"])}, "provenance": "inferred"})
         elif metric.get("type") == "ratio":
             metrics.append({"metric": metric["name"], "canonical": {"kind": "ratio", "numerator": name(told["numerator"]), "denominator": name(told["denominator"])}, "provenance": "inferred"})
+        else:
+            warnings.append(f"metric {metric['name']}: type {metric.get('type')!r} isn't taken over")
     return sources, metrics
 
 

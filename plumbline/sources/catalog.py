@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Callable
 from fnmatch import fnmatchcase
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,19 @@ def _files(kind: str) -> Reader:
     return lambda spark, conf, table: spark.read.format(kind).options(**conf.get("options", {})).load(f"{conf['path'].rstrip('/')}/{table}{conf.get('suffix', f'.{kind}')}")
 
 
-def _jdbc(driver: str | None) -> Reader:
+def jdbc_options(driver: str | None, start: str | None, conf: dict, table: str) -> dict[str, Any]:
+    """Options of a JDBC read: a session that only reads where the database has such, a limit in seconds, and what the connection adds."""
+    made = {"url": conf["url"], "dbtable": table, "queryTimeout": conf.get("timeout", 300), "fetchsize": 10_000}
+    made |= {k: v for k, v in (("driver", driver), ("sessionInitStatement", start)) if v}
+    if keys := conf.get("iam"):
+        # Credentials of a role instead of a password; the driver asks for them.
+        made |= {"url": re.sub(r"^jdbc:redshift:(?!iam:)", "jdbc:redshift:iam:", conf["url"]), **{k: keys[k] for k in ("AccessKeyID", "SecretAccessKey", "SessionToken", "Profile", "DbUser") if k in keys}}
+    return made | conf.get("options", {})
+
+
+def _jdbc(driver: str | None, start: str | None = None) -> Reader:
     def read(spark: SparkSession, conf: dict, table: str) -> DataFrame:
-        options = {"url": conf["url"], "dbtable": table, **({"driver": driver} if driver else {}), **conf.get("options", {})}
+        options = jdbc_options(driver, start, conf, table)
         return spark.read.format("jdbc").options(**options).load()
 
     return read
@@ -34,9 +45,9 @@ READERS: dict[str, Reader] = {
     **{kind: _files(kind) for kind in ("parquet", "csv", "json", "orc")},
     "catalog": lambda spark, conf, table: spark.table(f"{conf['schema']}.{table}" if conf.get("schema") else table),
     "duckdb": _jdbc("org.duckdb.DuckDBDriver"),
-    "sqlite": _jdbc("org.sqlite.JDBC"),
-    "postgres": _jdbc("org.postgresql.Driver"),
-    "redshift": _jdbc("com.amazon.redshift.Driver"),
+    "sqlite": _jdbc("org.sqlite.JDBC", "pragma query_only = on"),
+    "postgres": _jdbc("org.postgresql.Driver", "set session characteristics as transaction read only"),
+    "redshift": _jdbc("com.amazon.redshift.Driver", "set readonly to on"),
     "jdbc": _jdbc(None),
 }
 

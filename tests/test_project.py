@@ -148,6 +148,11 @@ def test_registered_column_stats_hold_the_counts(spark):
         assert stats[c].n_distinct == pytest.approx(spark.read.parquet(orders).select(c).distinct().count(), rel=0.03)
 
 
+def test_jdbc_options():
+    made = catalog.jdbc_options("d", "read only", {"url": "jdbc:redshift://h/db", "timeout": 7, "iam": {"DbUser": "u"}, "options": {"fetchsize": 5}}, "t")
+    assert made == {"url": "jdbc:redshift:iam://h/db", "dbtable": "t", "queryTimeout": 7, "fetchsize": 5, "driver": "d", "sessionInitStatement": "read only", "DbUser": "u"}
+
+
 def test_ddl():
     found = catalog.from_ddl('CREATE TABLE IF NOT EXISTS m.t (id BIGINT PRIMARY KEY, "name" VARCHAR(10) NOT NULL, price NUMERIC(8,2), at TIMESTAMP, -- no\n x BLOB, CHECK (price > 0));'
                              "create table u (a int, b text, constraint k primary key (a, b));")
@@ -199,6 +204,14 @@ def test_dbt():
     sources, metrics = ingestion.from_dbt(json.dumps(manifest))
     assert [m["additivity"] for m in sources[0]["measures"]] == ["additive", "semi_additive"] and sources[0]["dimensions"][0]["granularity"] == "day"
     assert [b.kind for b in from_dict({"sources": sources, "metrics": metrics}).bindings] == ["single", "ratio"]
+    assert not sources[0]["joins"]
+    more = {**manifest, "semantic_models": {**manifest["semantic_models"], "y": {"name": "lines", "entities": [{"name": "id", "type": "foreign", "expr": "order_ref"}, {"name": "none", "type": "foreign"}],
+            "measures": [{"name": "p90", "agg": "percentile", "expr": "price", "agg_params": {"percentile": 0.9}}]}}, "metrics": {**manifest["metrics"], "c": {"name": "odd", "type": "conversion"}}}
+    warnings = []
+    sources, _ = ingestion.from_dbt(more, warnings)
+    assert sources[1]["joins"] == [{"to": "orders", "on": "lines.order_ref = orders.order_id", "relationship": "many_to_one"}]
+    assert sources[1]["measures"] == [{"name": "p90", "expr": "percentile_cont(0.9) within group (order by price)", "additivity": "non_additive"}]
+    assert len(warnings) == 2 and "orders.odd" in warnings[0] and "conversion" in warnings[1]
     with pytest.raises(Refusal):
         ingestion.from_dbt({"metadata": {"dbt_schema_version": "v9/manifest/v9.json"}})
 
