@@ -113,8 +113,12 @@ def visible(pages: DataFrame, scope: str, tags: Sequence[str] = ("*",)) -> DataF
     return base.unionByName(own.withColumn("annotation", F.lit(None).cast("string")))
 
 
-def caveats(hits: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
-    """Up to three caveat pages that share a reference with the hits, and aren't hits."""
-    refs = hits.select(F.explode("refs").alias("ref")).distinct()
-    each = pages.filter("is_caveat").select("page_id", F.explode("refs").alias("ref")).join(refs, "ref", "left_semi").select("page_id").distinct()
-    return each.join(hits.select("page_id"), "page_id", "left_anti").orderBy("page_id").limit(most)
+def caveats(hits: DataFrame, pages: DataFrame, most: int = 3, bound: str = "refs") -> DataFrame:
+    """page_id and triggered_by of up to ``most`` caveat pages, by id: those bound to a definition that a hit is bound to, and no hits themselves.
+
+    bound names the column of the definitions that a page is bound to; triggered_by are the shared ones, in order.
+    """
+    of_hits = hits.select(F.explode(bound).alias("ref")).distinct()
+    each = pages.filter("is_caveat").select("page_id", F.explode(bound).alias("ref")).join(of_hits, "ref", "left_semi")
+    told = each.groupBy("page_id").agg(F.sort_array(F.collect_set("ref")).alias("triggered_by"))
+    return told.join(hits.select("page_id"), "page_id", "left_anti").orderBy("page_id").limit(most)

@@ -325,11 +325,11 @@ SELECT g.page_id, g.scope, m.body AS annotation FROM g LEFT JOIN m ON g.page_id
 
 def _caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).filter("scope = 'global'")
-    return retrieval.caveats(pages.filter("page_id = '1'"), pages, 3)
+    return retrieval.caveats(pages.filter("page_id = '1'"), pages, 3).withColumn("triggered_by", F.array_join("triggered_by", ","))
 
 
 catalog.QUERIES["caveat_pages"] = _caveats
-catalog.ORACLE_SQL["caveat_pages"] = f"WITH {_PAGES}, g AS (SELECT * FROM p WHERE scope = 'global') SELECT DISTINCT page_id FROM g WHERE is_caveat AND page_id <> '1' AND ref IN (SELECT ref FROM g WHERE page_id = '1') ORDER BY page_id LIMIT 3"
+catalog.ORACLE_SQL["caveat_pages"] = f"WITH {_PAGES}, g AS (SELECT * FROM p WHERE scope = 'global') SELECT page_id, string_agg(DISTINCT ref, ',' ORDER BY ref) AS triggered_by FROM g WHERE is_caveat AND page_id <> '1' AND ref IN (SELECT ref FROM g WHERE page_id = '1') GROUP BY 1 ORDER BY page_id LIMIT 3"
 
 
 @decided("semantic_yaml", "what string, told string", [("sources", "s"), ("grain", "id"), ("metrics", "m"), ("a type that isn't known", "validation_failed"), ("a column that isn't there", "validation_failed"), ("no expression", "validation_failed")])

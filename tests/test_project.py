@@ -264,7 +264,7 @@ def test_retrieval(spark):
     scoped = spark.createDataFrame([("a", "global", ["public"], "x", ["r"], False), ("a", "me", ["public"], "note", ["r"], False), ("b", "global", [], "y", ["r"], True), ("c", "you", ["public"], "z", [], True)], "page_id string, scope string, tags array<string>, body string, refs array<string>, is_caveat boolean")
     seen = {r.page_id: r.annotation for r in retrieval.visible(scoped, "me").collect()}
     assert seen == {"a": "note", "b": None} and [r.page_id for r in retrieval.visible(scoped, "me", ["public"]).collect()] == ["a"]
-    assert [r.page_id for r in retrieval.caveats(scoped.filter("page_id = 'a' and scope = 'global'"), scoped).collect()] == ["b"]
+    assert retrieval.caveats(scoped.filter("page_id = 'a' and scope = 'global'"), scoped).collect() == [("b", ["r"])]
 
 
 def test_fusion_ranks_every_hit(spark):
