@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.percentile import exact_percentile
+from plumbline.operators.percentile import nearest_ranks
 
 SCHEMA = (
     "event string, ts timestamp, seq long, query_hash string, ref string, error string, latency_ms double, bytes_scanned long, "
@@ -50,9 +50,7 @@ def answer_report(log: DataFrame) -> DataFrame:
         F.count_if("stale").alias("stale_answers"),
         F.count_if(F.size("guardrails") > 0).alias("guardrail_coverage"),
     )
-    for name, q in (("latency_p50", 0.5), ("latency_p95", 0.95)):
-        out = _beside(out, exact_percentile(served, [], "latency_ms", q, name, nearest_rank=True))
-    return out
+    return _beside(out, nearest_ranks(served, "latency_ms", {"latency_p50": 0.5, "latency_p95": 0.95}))
 
 
 def recent(log: DataFrame, n: int = 10) -> DataFrame:

@@ -55,3 +55,27 @@ def exact_percentile(rows: DataFrame, by: list[str], value: str, q: float, out:
         same = same & F.col(f"g{k}").eqNullSafe(F.col(f"f{k}"))
     whole = groups.join(found, same, "left") if keys else groups.join(F.broadcast(found), how="left")
     return whole.select(*[F.col(f"g{k}").alias(b) for k, b in zip(keys, by)], out)
+
+
+def nearest_ranks(rows: DataFrame, value: str, quantiles: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """One row, a column for each name: the least value with a cumulated share of at least its quantile; null without values.
+
+    All bands come from one pass and are counted in a second one.  What lies between two bands is
+    one row, placed before the values of the band above it.
+    """
+    edge, names = 4 / accuracy, list(quantiles)
+    marks = [max(0.0, min(1.0, q + side)) for q in quantiles.values() for side in (-edge, edge)]
+    slim = rows.select(F.col(value).alias("v")).filter("v is not null")
+    told = slim.agg(F.count("v").alias("n"), F.percentile_approx("v", marks, accuracy).alias("band"), F.min("v").alias("least"), F.max("v").alias("most"))
+    few = F.col("n") <= accuracy
+    lows = [F.when(few | F.lit(q - edge <= 0), F.col("least")).otherwise(F.col("band")[2 * i]).alias(f"low{i}") for i, q in enumerate(quantiles.values())]
+    highs = [F.when(few | F.lit(q + edge >= 1), F.col("most")).otherwise(F.col("band")[2 * i + 1]).alias(f"high{i}") for i, q in enumerate(quantiles.values())]
+    met = slim.join(F.broadcast(told.select("n", *lows, *highs)))
+    inside, part = F.lit(False), F.lit(0)
+    for i in range(len(names)):
+        inside = inside | F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}"))
+        part = part + (F.col("v") > F.col(f"high{i}")).cast("int")
+    counts = met.groupBy(part.alias("part"), F.when(inside, F.col("v")).alias("v"), "n").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.orderBy("part", F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = counts.withColumn("reach", F.sum("c").over(order)).filter("v is not null")
+    return reach.agg(*[F.min(F.when(F.col("reach") / F.col("n") >= q, F.col("v"))).alias(name) for name, q in quantiles.items()])

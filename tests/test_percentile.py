@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from plumbline.operators.percentile import exact_percentile
+from plumbline.operators.percentile import exact_percentile, nearest_ranks
 
 
 def brute(values, q, nearest):
@@ -33,3 +33,16 @@ def test_any_group(spark, nearest, accuracy):
         assert all(got[g] == (w if w is None else pytest.approx(w, rel=1e-12)) for g, w in wanted.items()), q
         alone = exact_percentile(df, [], "v", q, "p", nearest, accuracy).collect()
         assert alone[0].p == pytest.approx(brute([v for _, v in rows], q, nearest), rel=1e-12) and len(alone) == 1
+
+
+@pytest.mark.parametrize("accuracy", [10, 50, 10_000])
+def test_several_nearest_ranks(spark, accuracy):
+    dice = random.Random(accuracy)
+    for n in (0, 1, 2, 3, 700):
+        values = [dice.choice([dice.random(), 1.0, 5.0]) for _ in range(n)] + [None, None]
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+        got = nearest_ranks(df, "x", {"a": 0.0, "b": 0.5, "c": 0.52, "d": 0.95, "e": 1.0}, accuracy).first()
+        known = sorted(v for v in values if v is not None)
+        for name, q in zip("abcde", (0.0, 0.5, 0.52, 0.95, 1.0)):
+            wanted = known[max(0, math.ceil(q * n - 1e-9) - 1)] if n else None
+            assert got[name] == wanted, (n, q)
