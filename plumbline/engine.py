@@ -295,6 +295,18 @@ class Engine:
                 out.append({"title": section.get("title"), "error": {"code": refusal.code, "message": refusal.message}})
         return out
 
+    def check_report(self, name: str, sections: list[dict], filters: tuple = (), pages: tuple[str, ...] = ()) -> None:
+        """Refuses a report of which a section can't be planned, whoever asks, or takes its words from a page that isn't there; nothing runs."""
+        for i, section in enumerate(sections):
+            query = dict(section["query"])
+            query["filters"] = [*(query.get("filters") or []), *filters]
+            try:
+                self._plan(Query.of(query), SYSTEM)
+            except Refusal as refusal:
+                raise Refusal("validation_failed", f"report {name}, section {i}: {refusal.message}", refusal.candidates) from None
+            if (page := section.get("narrative_from")) and page not in pages:
+                raise Refusal("validation_failed", f"report {name}, section {i}: there is no page {page!r}")
+
     # Events
 
     def _event(self, query: Query, planned: Planned | None, error: str | None, seconds: float) -> None:

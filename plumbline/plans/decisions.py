@@ -198,6 +198,17 @@ def _sections(spark: SparkSession, d: str) -> Iterable[tuple]:
         yield s["title"], s["result"]["rows"][0][0] if "result" in s else None, s["error"]["code"] if "error" in s else None
 
 
+@decided("report_checks", "report string, code string", [("sound", "answered"), ("another metric", "validation_failed"), ("another page", "validation_failed"), ("a filter out of reach", "validation_failed")])
+def _report_checks(spark: SparkSession, d: str) -> Iterable[tuple]:
+    engine = catalog.engine(spark, d, catalog.TENANTS)
+    section = {"query": {"metrics": ["customer_count"]}, "narrative_from": "intro"}
+    check = lambda *args, **more: _code(lambda: engine.check_report("r", *args, pages=("intro",), **more))
+    yield "sound", check([section])
+    yield "another metric", check([section, {"query": {"metrics": ["nothing"]}}])
+    yield "another page", check([{**section, "narrative_from": "gone"}])
+    yield "a filter out of reach", check([section], filters=("p_brand = 'x'",))
+
+
 @decided("assertions", "id string, passed boolean", [("right", True), ("wrong", False), ("refused", False)])
 def _assertions(spark: SparkSession, d: str) -> Iterable[tuple]:
     n = spark.read.parquet(f"{d}/customer.parquet").count()
