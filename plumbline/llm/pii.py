@@ -227,7 +227,7 @@ def ibans(text: str, runs: list[Span]) -> list[Span]:
     found, last, known = [], 0, CAPITALS | DIGITS
     for at, _ in runs:
         start = at - 2
-        if start < last or not set(text[start:at]) <= CAPITALS or start and text[start - 1] in LABEL:
+        if start < last or text[at - 1] not in CAPITALS or text[start] not in CAPITALS or start and text[start - 1] in LABEL:
             continue
         end = _run(text, at, known)
         if end - start == 4:
@@ -255,9 +255,16 @@ def ssns(text: str, runs: list[Span]) -> list[Span]:
     return found
 
 
+def lowered(text: str) -> str:
+    """text with A-Z in lower case, place by place; other letters may change, too, but into none that a cue has."""
+    small = text.lower()
+    # These two change the length, or into an ASCII letter.
+    return small if len(small) == len(text) and "\u212a" not in text else text.translate(_LOWER)
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[Span]]:
     at: dict[str, list[int]] = {"@": [], ":": [], "0": [], "+": [], "cue": [], "key": []}
-    for end, (kind, n) in anchors.iter(text.translate(_LOWER)):
+    for end, (kind, n) in anchors.iter(lowered(text)):
         at[kind].append(end + 1 if kind == "cue" else end + 1 - n)
     runs = digit_runs(at["0"])
     return {
