@@ -13,6 +13,7 @@ import yaml
 
 from plumbline.errors import Refusal
 from plumbline.model import Binding, Column, Source
+from plumbline.operators.knowledge import Page
 
 PROVENANCE = ("inferred", "human_curated", "board_approved")
 _KEY = re.compile(r"(^|_)(id|key|fk|pk)$", re.I)
@@ -100,6 +101,16 @@ def reconcile(declared: Mapping[str, dict], proposed: Mapping[str, dict], frozen
     return out
 
 
+def notes(decisions: Iterable[Decision]) -> list[Page]:
+    """A knowledge page for each contradiction, for a person to settle; the others need none."""
+    out = []
+    for d in decisions:
+        if d.action == "contradiction":
+            about = f" ({', '.join(d.changed)})" if d.changed else ""
+            out.append(Page(f"contradiction-{d.name}", f"{d.name} {d.reason}{about}.", f"{d.name}: to be settled", ("contradiction",), sl_refs=(d.name,)))
+    return out
+
+
 def diff(name: str, old: dict | None, new: dict | None) -> str:
     """A unified diff of the YAML before and after."""
     text = lambda d: yaml.safe_dump(d, sort_keys=False, allow_unicode=True).splitlines(keepends=True) if d else []

@@ -303,6 +303,13 @@ def _reconciled(spark: SparkSession, d: str) -> Iterable[tuple]:
         yield case, made.action, made.applied
 
 
+@decided("contradiction_notes", "page string, body string", [("contradiction-t", "t differs from what a person declared (description).")])
+def _notes(spark: SparkSession, d: str) -> Iterable[tuple]:
+    new = ingestion.propose(ingestion.Relation("t", (Column("id", "int"),), ("id",)))
+    old = {"t": {**new, "meta": {"provenance": "human_curated"}, "description": "x"}, "u": new}
+    return [(p.id, p.body) for p in ingestion.notes(ingestion.reconcile(old, {"t": new, "u": new, "v": new}))]
+
+
 @decided("knowledge_pages", "what string, told string", [("around a", "a,b,c"), ("one step", "a,b"), ("drifted", "m"), ("stale", "a"), ("broken", "c: page d is gone;c: x is no definition"), ("pruned", "m"), ("rendered", "is 5 of {{ sl:z }}")])
 def _knowledge(spark: SparkSession, d: str) -> Iterable[tuple]:
     now = datetime(2025, 1, 10)
