@@ -3,8 +3,8 @@
 A rolling hash over the bytes of a text marks chunk ends, so a passage that several
 documents share falls into the same chunks wherever it stands.  A chunk's body reaches from
 its first to its last sure place: one where the tokenizer's words part whatever stands
-around, such as the white space after a word.  Bodies are encoded once for each worker, in
-a cache of bounded size that outlives its tasks.  What lies between the last sure place of a
+around, such as the white space after a word.  Bodies are encoded once for each task, in a
+cache of bounded size; it goes with the task, as idle workers would hold it beside others.  What lies between the last sure place of a
 chunk and the first of the next, the join, is encoded anew; where a chunk has no sure place
 the join widens over it until it meets one or the text's end.  At a sure place what was
 encoded on either side agrees exactly with the whole text's encoding, so body and join ids in
@@ -186,6 +186,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         for texts in batches:
             packed = bpe.encode([(t or "").encode() for t in texts])
             yield pd.DataFrame({"ids": packed, "decoded": bpe.decode(packed)})
+        bpe.forget()
 
     @F.pandas_udf("ids binary, decoded string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

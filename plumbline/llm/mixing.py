@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import col, cut, fresh, uniform
+from plumbline.llm.common import Bitmap, col, cut, fresh, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -199,21 +199,25 @@ PARTS = 256
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
     mine = docs.columns
-    i, s, c, base, ups, rows = names = fresh(docs, "i", "s", "c", "base", "ups", "rows")
+    i, s, c, base, ups, rows, maybe = names = fresh(docs, "i", "s", "c", "base", "ups", "rows", "maybe")
     taken = mix(docs, id_col, text_col, source_col, **options).filter("base > 0 or ups > 0")
-    taken = taken.select(*[F.col(x).alias(y) for x, y in zip(("id", "source", "content", "base", "ups", "rows"), names)])
+    taken = taken.select(*[F.col(x).alias(y) for x, y in zip(("id", "source", "content", "base", "ups", "rows"), names[:6])])
     same = (
         col(id_col).eqNullSafe(F.col(i))
         & col(source_col).cast("string").eqNullSafe(F.col(s))
         & (F.xxhash64(col(text_col)) == F.col(c))
     )
-    met = docs.join(taken, same)
+    taken = cut(taken)
     alike = (F.col(ups) == 0) | (F.col(ups) == F.col(rows))
     copies = F.col(base) + (F.col(ups) > 0).cast("int")
-    out = met.filter(alike).withColumn(rows, copies)
+    out = docs.join(taken.filter(alike), same).withColumn(rows, copies)
     # Of rows that are alike some are taken once more: they are numbered, in parts, so that no task numbers a large group.
+    # A bitmap tells the few rows that this may be about, so the others aren't joined again.
+    some = taken.filter(~alike)
+    marked = Bitmap(some, [c]).mark(docs.withColumn(c, F.xxhash64(col(text_col))), maybe).filter(maybe).drop(c, maybe)
+    met = marked.join(some, same)
     part, place, before = fresh(met, "part", "place", "before")
-    unlike = met.filter(~alike).withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)))
+    unlike = met.withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)))
     unlike = cut(unlike)
     key = [i, s, c]
     earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

@@ -50,7 +50,7 @@ def test_text_without_spaces_is_cut_at_line_ends():
     assert got([text]) == [wanted(text)]
 
 
-def test_chunks_are_encoded_once_for_a_worker():
+def test_shared_chunks_are_encoded_once():
     OWN.forget()
     passage = " ".join(f"word{i}" for i in range(3000))
     got(["a start. " + passage])
