@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Bitmap, col, components, cut, fresh, released
+from plumbline.llm.common import Bitmap, col, components, fresh, released, swept
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -208,7 +208,7 @@ def _sign(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
 
 def _bags(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(key, bag) of the nodes with these keys, the bag expanded and packed; reads their texts again."""
-    wanted = cut(keys.distinct().join(nodes, "key").select("key", "th"))
+    wanted = swept(keys.distinct().join(nodes, "key").select("key", "th"))
     texts = Bitmap(wanted, ["th"]).mark(docs.select(text_hash(F.col("text")).alias("th"), "text"), "maybe").filter("maybe")
     one = texts.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th").select("key", "text")
 
@@ -222,7 +222,7 @@ def _bags(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 sets += [expanded(shingle[a:b], count[a:b]).tobytes() for a, b in zip(edges, edges[1:])]
             yield pd.DataFrame({"key": batch["key"], "bag": sets})
 
-    return cut(one.mapInPandas(expand, "key binary, bag binary"))
+    return swept(one.mapInPandas(expand, "key binary, bag binary"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -255,7 +255,7 @@ def _in_small(apart: DataFrame, first: DataFrame, nodes: DataFrame, docs: DataFr
     )
     pairs = pairs.select(F.least("x_key", "key").alias("a"), F.greatest("x_key", "key").alias("b")).distinct()
     # A hub is the least of its bucket, so these are ordered alike.
-    return _verified(cut(pairs.join(first, ["a", "b"], "left_anti")), nodes, docs, threshold)
+    return _verified(swept(pairs.join(first, ["a", "b"], "left_anti")), nodes, docs, threshold)
 
 
 def _joined(links: DataFrame, joined: DataFrame | None = None) -> DataFrame:
@@ -270,7 +270,7 @@ def _joined(links: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     old = joined.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     # Nodes that were alone until now; the others are classes that are in old under their least node.
     new = wider.join(joined.select("node"), "node", "left_anti")
-    return cut(old.unionByName(new))
+    return swept(old.unionByName(new))
 
 
 def _in_large(apart: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -360,8 +360,8 @@ def near_classes(
 ) -> DataFrame:
     """doc_id, th (a hash of the text), class_id, class_size and class_key of each row."""
     docs = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    signed = cut(_sign(docs, n_bands, rows))
-    nodes = cut(
+    signed = swept(_sign(docs, n_bands, rows))
+    nodes = swept(
         signed.groupBy("key").agg(
             F.min("th").alias("th"), F.first("n").alias("n"), F.first("bands").alias("bands"),
             F.min("id").alias("first"), F.count(F.lit(1)).alias("members"),
@@ -372,26 +372,26 @@ def near_classes(
     # The key is hashed anew, so that both sides are dealt anew and a large bucket can be split.
     hubs = hubs.filter("size > 1").select(F.xxhash64("band").alias("at"), "hub")
     shared = buckets.join(hubs, F.xxhash64("band") == F.col("at"))
-    shared = cut(shared.select("band", "node.key", "node.n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")))
+    shared = swept(shared.select("band", "node.key", "node.n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")))
     first = shared.filter((F.col("key") != F.col("hub")) & _fits("n", "hub_n", threshold))
-    first = cut(first.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    links = cut(_verified(first, nodes, docs, threshold))
+    first = swept(first.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
+    links = swept(_verified(first, nodes, docs, threshold))
     joined = _joined(links)
 
     # What shares a bucket and isn't joined yet; pairs with the hub are settled.
     rest = shared.filter(F.col("key") != F.col("hub"))
     placed = rest.join(joined, F.col("key") == F.col("node"), "left")
-    placed = cut(placed.select("band", "key", "n", F.coalesce("component", "key").alias("component")))
+    placed = swept(placed.select("band", "key", "n", F.coalesce("component", "key").alias("component")))
     counted = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
     most = F.max(F.struct("count", "component"))["component"]
     several = counted.groupBy("band").agg(
         F.count(F.lit(1)).alias("classes"), most.alias("largest"), F.sum("count").alias("size"), F.sum("n").alias("mass")
     )
     several = several.filter("classes > 1").select(F.xxhash64("band").alias("at"), "largest", "size", "mass")
-    apart = cut(placed.join(several, F.xxhash64("band") == F.col("at")).drop("at"))
+    apart = swept(placed.join(several, F.xxhash64("band") == F.col("at")).drop("at"))
     few, many = apart.filter(F.col("size") <= SMALL), apart.filter(F.col("size") > SMALL)
-    more = _in_small(few, first, nodes, docs, threshold).unionByName(_in_large(many, nodes, docs, threshold))
-    joined = _joined(cut(more), joined)
+    # No name is kept for what is swept: it would keep its shuffles, too.
+    joined = _joined(swept(_in_small(few, first, nodes, docs, threshold).unionByName(_in_large(many, nodes, docs, threshold))), joined)
 
     own = nodes.select("key", "first", "members")
     summed = own.join(joined, F.col("key") == F.col("node")).groupBy("component")
@@ -413,7 +413,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs with one of each class, that of the least id; rows without copies aren't shuffled."""
     th, maybe, row, class_of, at = fresh(docs, "th", "maybe", "row", "class", "at")
     found = near_classes(docs, id_col, text_col, **options).filter("class_size > 1")
-    several = cut(found.groupBy(F.col("th").alias(th)).agg(F.first("class_key").alias(class_of)))
+    several = swept(found.groupBy(F.col("th").alias(th)).agg(F.first("class_key").alias(class_of)))
     marked = Bitmap(several, [th]).mark(docs.withColumn(th, text_hash(col(text_col))), maybe)
     mine = [col(c) for c in docs.columns]
     packed = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(mine)])

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -155,3 +157,15 @@ def test_edges_of_a_large_bucket_are_fewer_than_its_classes(spark, monkeypatch):
     apart = nodes.withColumn("band", F.lit(7).cast("long")).withColumn("component", F.col("key"))
     edges = near_dedup._in_large(apart.withColumn("largest", F.lit(largest)), nodes, docs, 0.7)
     assert components(edges).select("component").distinct().count() == 1
+
+
+def test_shuffles_go_once_what_they_made_is_written(spark):
+    # Those of 60 steps used to stay on disk until the driver collected its garbage.
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    shuffles = lambda: {int(n) for n in re.findall(r"shuffle_(\d+)_", files())}
+    before = max(shuffles(), default=-1)
+    out = near_classes(spark.createDataFrame([(i, t, "x") for i, t in enumerate(made())], SCHEMA))
+    end = time.time() + 20
+    while len(left := {n for n in shuffles() if n > before}) > 15 and time.time() < end:
+        time.sleep(0.2)
+    assert len(left) <= 15 and out.count() == len(made())
